@@ -168,8 +168,9 @@ def graph_counts(spark, folder):
 
 @_query
 def graph_build(spark, folder):
+    # the vertex table lacks the characters that nothing leads to; they come out without a name
     graph = _corpus_graph(spark, folder)
-    return Graph.build(graph.vertices.where(F.col("name") < "n"), graph.edges).vertices
+    return Graph.build(graph.members(graph.in_degrees()), graph.edges).vertices
 
 
 @_query

@@ -1,7 +1,7 @@
 from .characters import adjacent_pairs, all_characters, text_units, unit_characters
 from .graph import Graph
 from .ids import dense_ids
-from .lookup import BROADCAST_BYTES, fits_broadcast, lookup_join
+from .lookup import BROADCAST_BYTES, fits_broadcast, lookup_join, materialize_sized
 from .pregel import pregel
 from .storage import materialize, shared_dir
 
@@ -14,6 +14,7 @@ __all__ = [
     "fits_broadcast",
     "lookup_join",
     "materialize",
+    "materialize_sized",
     "pregel",
     "shared_dir",
     "text_units",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,10 +30,22 @@ def row_bytes(kind: T.DataType, column: Column) -> Column:
     return F.lit(_FIXED_FIELD)
 
 
-def estimated_bytes(frame: DataFrame) -> int:
-    """Size of a table as a broadcast relation, from its row count and string lengths."""
+def size_of_rows(frame: DataFrame) -> Column:
+    """Aggregate: the size of a table as a broadcast relation, from row count and string lengths."""
     size = sum((row_bytes(f.dataType, F.col(f.name)) for f in frame.schema), F.lit(_ROW_OVERHEAD))
-    return frame.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.coalesce(F.sum(size), F.lit(0))
+
+
+def estimated_bytes(frame: DataFrame) -> int:
+    """The same as a number; one pass over the table."""
+    return frame.agg(size_of_rows(frame)).first()[0]
+
+
+def materialize_sized(frame: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Write a table and learn its size in the same pass."""
+    seen = Observation()
+    written = materialize(frame.observe(seen, size_of_rows(frame).alias("bytes")), name)
+    return written, seen.get["bytes"]
 
 
 def fits_broadcast(frame: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> bool:

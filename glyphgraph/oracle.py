@@ -110,9 +110,8 @@ _FINAL = {
     ),
     "graph_build": (
         ["cv", "ce"],
-        "select e.id, v.name from (select src as id from ce union select dst from ce"
-        " union select id from cv where name < 'n') e"
-        " left join (select * from cv where name < 'n') v on e.id = v.id",
+        "select e.id, v.name from (select src as id from ce union select dst from ce) e"
+        " left join (select * from cv where id in (select dst from ce)) v on e.id = v.id",
     ),
     "out_degrees": (["ce"], "select src as id, count(*) as degree from ce group by src"),
     "in_degrees": (["ce"], "select dst as id, count(*) as degree from ce group by dst"),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import BROADCAST_BYTES, Graph, all_characters, fits_broadcast, lookup_join
 from ..functions import pair_key
+from ..operators import BROADCAST_BYTES, Graph, all_characters, lookup_join, materialize_sized
 
 
 def comment_slice(
@@ -52,6 +52,12 @@ def pair_weights(corpus: DataFrame) -> DataFrame:
     )
 
 
+def written_weights(corpus: DataFrame, broadcast_bytes: int) -> tuple[DataFrame, bool]:
+    """The pair weights as a written table, and whether it may be broadcast."""
+    weights, size = materialize_sized(pair_weights(corpus), "pair-weights")
+    return weights, size <= broadcast_bytes
+
+
 def join_weight(
     rows: DataFrame, weights: DataFrame, first: str, second: str, name: str, small: bool
 ) -> DataFrame:
@@ -67,15 +73,9 @@ def weighted_edges(
     comments: DataFrame, corpus: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """The path edges with their corpus weight: (comment_id, pos, src_name, dst_name, weight)."""
-    weights = pair_weights(corpus)
-    return join_weight(
-        blank_edges(comments).drop("weight"),
-        weights,
-        "src_name",
-        "dst_name",
-        "weight",
-        fits_broadcast(weights, broadcast_bytes),
-    )
+    weights, small = written_weights(corpus, broadcast_bytes)
+    blank = blank_edges(comments).drop("weight")
+    return join_weight(blank, weights, "src_name", "dst_name", "weight", small)
 
 
 def path_starts(comments: DataFrame) -> DataFrame:

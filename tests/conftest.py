@@ -1,0 +1,65 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    from pyspark.sql import SparkSession
+
+    session = (
+        SparkSession.builder.master("local[8]")
+        .appName("tests")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def comments(spark):
+    """comments(comment_id, content) from texts numbered from 1, or from (id, text) rows."""
+
+    def make(*texts):
+        rows = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts, 1)]
+        return spark.createDataFrame(rows, "comment_id long, content string")
+
+    return make
+
+
+# The rows of the sample corpus that the golden texts meet.
+SAMPLE_WEIGHTS = {
+    "不错": 362779, "电脑": 238688, "很好": 178570, "速度": 122445, "非常": 111116, "好好": 88805,
+    "很快": 84465, "还不": 57393, "好用": 52819, "很不": 50457, "比较": 41155, "度很": 39742,
+    "哈哈": 32166, "常好": 30540, "脑很": 24130, "好很": 15840, "整体": 15068,
+}
+
+
+@pytest.fixture(scope="session")
+def sample_corpus(spark):
+    rows = [(pair[0], pair[1], weight) for pair, weight in SAMPLE_WEIGHTS.items()]
+    return spark.createDataFrame(rows, "src string, dst string, weight long").persist()
+
+
+@pytest.fixture(scope="session")
+def cyclic_graph(spark):
+    """1 -> 2 -> 3 -> 4 -> 5 -> 4"""
+    from glyphgraph.operators import Graph
+
+    vertices = spark.createDataFrame(
+        [(1, "电"), (2, "脑"), (3, "真"), (4, "好"), (5, "用")], "id long, name string"
+    )
+    edges = spark.createDataFrame(
+        [(1, 2, 3), (2, 3, 1), (3, 4, 3), (4, 5, 2), (5, 4, 10)], "src long, dst long, weight long"
+    )
+    return Graph(vertices, edges)
