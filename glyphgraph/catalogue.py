@@ -160,10 +160,10 @@ def graph_counts(spark, folder):
     corpus = _corpus(spark, folder)
     vertices = corpora.vertex_ids(corpus)
     graph = Graph.build(vertices, corpora.edges_with_ids(corpus, vertices))
-    n_vertices = graph.vertices.agg(F.count("*").alias("n_vertices"))
-    n_edges = graph.edges.agg(F.count("*").alias("n_edges"))
-    # one row each
-    return n_vertices.withColumn("one", F.lit(1)).join(n_edges.withColumn("one", F.lit(1)), "one").drop("one")
+    vertex, edge = F.lit(1).alias("vertex"), F.lit(1).alias("edge")
+    no_vertex, no_edge = F.lit(0).alias("vertex"), F.lit(0).alias("edge")
+    both = graph.vertices.select(vertex, no_edge).unionByName(graph.edges.select(no_vertex, edge))
+    return both.agg(F.sum("vertex").alias("n_vertices"), F.sum("edge").alias("n_edges"))
 
 
 @_query
