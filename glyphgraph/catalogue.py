@@ -286,12 +286,6 @@ def label_chars_50(spark, folder):
     return _labels(spark, folder, segmentation.REFERENCE_ROUNDS)
 
 
-@_query
-def pregel_labels(spark, folder):
-    labelled = segmentation.pregel_labels(_comments(spark, folder), _corpus(spark, folder))
-    return labelled.vertices.select("id.comment_id", "id.pos", F.col("name").alias("ch"), "label")
-
-
 @_query
 def segment_text(spark, folder):
     return segmentation.segment_texts(_comments(spark, folder), _corpus(spark, folder))
@@ -327,3 +321,12 @@ def export_nodes(spark, folder):
 def export_edges(spark, folder):
     part = texts.comment_slice(_comments(spark, folder))
     return results.export_edges(texts.weighted_edges(part, _corpus(spark, folder)))
+
+
+# last, as it takes as many jobs as it has rounds
+
+
+@_query
+def pregel_labels(spark, folder):
+    labelled = segmentation.pregel_labels(_comments(spark, folder), _corpus(spark, folder))
+    return labelled.vertices.select("id.comment_id", "id.pos", F.col("name").alias("ch"), "label")

@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 # Texts are expanded in stretches of this many characters, which bounds the array held per row.
 UNIT_CHARACTERS = 1 << 16
 
+# Spark's usual size of a file split.
+SPLIT_BYTES = 128 << 20
+
 
 def spread(comments: DataFrame) -> DataFrame:
-    """Deal the texts out to all cores when the source has fewer splits than there are cores.
+    """Deal the texts out to all cores when the table is too small to have a split for each of them.
 
-    Characters take far more time than the text they come from, so a source in one small file would
-    otherwise keep one core busy. A source with enough splits is left alone and not shuffled.
+    Characters take far more time than the text they come from, so a small table in one file would
+    otherwise keep one core busy. Any table of more than a split per core is left alone: no shuffle.
     """
     cores = comments.sparkSession.sparkContext.defaultParallelism
-    if comments.rdd.getNumPartitions() >= cores:
+    # Spark's own estimate; unlike asking for the number of partitions it never runs anything
+    estimate = comments._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) > cores * SPLIT_BYTES:
         return comments
     return comments.repartition(2 * cores, "comment_id")
 

@@ -66,8 +66,8 @@ class Graph:
         named = [value.alias(name) for name, value in attributes.items()]
         return Graph(self.vertices, self.edges.select("src", "dst", *named))
 
-    def join_vertices(self, table: DataFrame) -> Graph:
-        """Take attribute values from `table`(id, ...) for the vertices it has a row for."""
+    def join_vertices(self, table: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> Graph:
+        """Take attribute values from `table`(id, ...) for the vertices it has a row for, one at most."""
         changed = [c for c in table.columns if c != "id"]
         renamed = table.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in changed])
         values = [
@@ -76,7 +76,10 @@ class Graph:
             else F.col(c)
             for c in self.vertex_attributes
         ]
-        return Graph(self.vertices.join(renamed, "id", "left").select("id", *values), self.edges)
+        joined = lookup_join(
+            self.vertices, renamed, "id", broadcast_bytes=broadcast_bytes, unique=True
+        )
+        return Graph(joined.select("id", *values), self.edges)
 
     # structure
 
@@ -96,15 +99,23 @@ class Graph:
 
     def sources(self) -> DataFrame:
         """Vertices without in-edge."""
-        return self.vertices.join(self.edges.select(F.col("dst").alias("id")), "id", "left_anti")
+        return self._without(self.edges.select(F.col("dst").alias("id")))
 
     def sinks(self) -> DataFrame:
         """Vertices without out-edge."""
-        return self.vertices.join(self.edges.select(F.col("src").alias("id")), "id", "left_anti")
+        return self._without(self.edges.select(F.col("src").alias("id")))
+
+    def _without(self, ids: DataFrame) -> DataFrame:
+        # made distinct on the map side first, so a vertex with very many edges sends one row per task
+        return self.vertices.join(ids.distinct().hint("merge"), "id", "left_anti")
 
-    def members(self, ids: DataFrame) -> DataFrame:
+    def members(self, ids: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         """Vertices whose id is in `ids`(id)."""
-        return self.vertices.join(ids.select("id"), "id", "left_semi")
+        wanted = ids.select("id").distinct()
+        small = fits_broadcast(wanted, broadcast_bytes)
+        return self.vertices.join(
+            F.broadcast(wanted) if small else wanted.hint("merge"), "id", "left_semi"
+        )
 
     # messages
 

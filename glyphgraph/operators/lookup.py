@@ -60,17 +60,22 @@ def lookup_join(
     *,
     broadcast_bytes: int = BROADCAST_BYTES,
     small: bool | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """`left` with the columns of `right` for its `key`, NULL where `right` has no such key.
 
     `right` must hold a key at most once. When its size is within `broadcast_bytes` it is broadcast and
     `left` is not shuffled. Beyond that both sides are shuffled on the key, apart from hot keys of
-    `left`, whose rows stay where they are. Pass `small` when the size has been checked already.
+    `left`, whose rows stay where they are; `unique` tells that `left` has none, as it too holds a key
+    at most once. Pass `small` when the size has been checked already.
     """
     if small is None:
         small = fits_broadcast(right, broadcast_bytes)
     if small:
         return left.join(F.broadcast(right), key, "left")
+    if unique:
+        # named, because Spark may take an expanded table for small and broadcast it
+        return left.join(right.hint("merge"), key, "left")
     return _split_join(left, right, key)
 
 

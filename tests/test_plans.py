@@ -4,23 +4,22 @@ import re
 
 import pytest
 
+from glyphgraph.operators import characters
 from glyphgraph.plans import corpus as corpora
 from glyphgraph.plans import segmentation
 from glyphgraph.plans.comments import weighted_edges
 
 
-@pytest.fixture(scope="module")
-def stored(spark, tmp_path_factory):
-    """Comments in more files than there are cores, as a big table would be."""
-    path = str(tmp_path_factory.mktemp("comments") / "c")
-    rows = spark.range(0, 64, 1, 16).selectExpr(
+@pytest.fixture
+def stored(spark, tmp_path, monkeypatch):
+    """Comments that count as a big table, which has splits enough for all cores."""
+    monkeypatch.setattr(characters, "SPLIT_BYTES", 0)
+    path = str(tmp_path / "comments")
+    rows = spark.range(64).selectExpr(
         "id as comment_id", "repeat('很好不错', 5) as content", "'x' as other"
     )
     rows.write.parquet(path)
-    # one split per file
-    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
-    yield spark.read.parquet(path)
-    spark.conf.unset("spark.sql.files.openCostInBytes")
+    return spark.read.parquet(path)
 
 
 def plan_of(frame):
@@ -52,6 +51,13 @@ def test_pairs_are_counted_before_the_only_shuffle(stored):
     assert "ReadSchema: struct<content:string>" in plan
 
 
+def test_a_small_table_is_dealt_out_to_all_cores(spark, stored, monkeypatch):
+    monkeypatch.setattr(characters, "SPLIT_BYTES", 128 << 20)
+    plan = plan_of(characters.all_characters(stored))
+    assert exchanges(plan) == ["hashpartitioning"]
+    assert "Generate" not in plan.split("Exchange")[1]
+
+
 def test_text_is_cut_once(stored):
     """No derived filter repeats the splitting."""
     plan = plan_of(corpora.bigram_edges(stored))
