@@ -77,7 +77,6 @@ def test_pregel_on_a_cycle_stops_at_the_round_limit(cyclic_graph):
         max_rounds=4,
         direction="out",
         ends=(),
-        checkpoint_every=2,
     )
     assert rows(counted.vertices) == simulate_counts(4)
 
