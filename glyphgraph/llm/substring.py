@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from .arrays import (
     chunks,
-    id_array,
     ids_of,
     packed,
     sequence_hashes,
@@ -28,12 +27,12 @@ from .arrays import (
     unpacked,
     word_bounds,
 )
+from .shards import FOUND, Found, pack_found, runs, with_found
 from .sizing import text_buckets
 
 WINDOW = 13
 
-_SENT = "bucket int, sure boolean, docs binary, counts binary, hashes binary"
-_FOUND = "doc_id long, hashes binary"
+SENT = "bucket int, sure boolean, docs binary, counts binary, hashes binary"
 
 
 def window_hashes(column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,14 +45,6 @@ def window_hashes(column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray
     return hashes[inside], owner[inside], before
 
 
-def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each run of equal values begins, and how long it is."""
-    if not len(values):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    begins = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    return begins, np.diff(np.append(begins, len(values)))
-
-
 def deal(hashes: np.ndarray, docs: np.ndarray, sure: bool, buckets: int) -> Iterator[tuple]:
     """Rows of packed arrays, one a bucket, from hashes in the order of their documents."""
     bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
@@ -64,14 +55,6 @@ def deal(hashes: np.ndarray, docs: np.ndarray, sure: bool, buckets: int) -> Iter
         yield int(bucket[part[0]]), sure, packed(docs[part][first]), packed(counts.astype(np.int32)), packed(hashes[part])
 
 
-def by_document(hashes: np.ndarray, docs: np.ndarray) -> pa.Table:
-    """One row per document: (doc_id, hashes)."""
-    order = np.argsort(docs, kind="stable")
-    begins, counts = runs(docs[order])
-    blobs = [packed(hashes[order[b : b + n]]) for b, n in zip(begins, counts, strict=True)]
-    return pa.table({"doc_id": id_array(docs[order][begins]), "hashes": pa.array(blobs, pa.binary())})
-
-
 def sent_entries(table: pa.Table, sure: bool) -> tuple[np.ndarray, np.ndarray]:
     """The reverse of `deal`: all hashes and their documents."""
     part = table.filter(pc.equal(table["sure"], sure))
@@ -123,62 +106,67 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
         begins, counts = runs(hashes[order])
         later = order[owners[order] > np.repeat(owners[order][begins], counts)]
         sure_hashes, sure_owners = sent_entries(table, True)
-        return by_document(
-            np.concatenate([hashes[later], sure_hashes]), np.concatenate([owners[later], sure_owners])
+        return pack_found(
+            np.concatenate([owners[later], sure_owners]), np.concatenate([hashes[later], sure_hashes]), buckets
         )
 
-    found = (
-        source.mapInArrow(scan, _SENT)
-        .groupBy("bucket")
-        .applyInArrow(match, _FOUND)
-        .groupBy(F.col("doc_id").alias("found_id"))
-        .agg(F.collect_list("hashes").alias("found"))
-    )
-    joined = source.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    found = source.mapInArrow(scan, SENT).groupBy("bucket").applyInArrow(match, FOUND)
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            masks = _removed_words(part, window)
-            made = []
-            for row, text in enumerate(part.column("text")):
-                words = (text.as_py() or "").encode().split()
-                mask = masks.get(row)
-                if mask is None:
-                    made.append((len(words), 0, [], b" ".join(words).decode()))
-                    continue
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]]))).reshape(-1, 2)
-                kept = b" ".join(compress(words, ~mask)).decode()
-                spans = [{"begin": a, "end": b} for a, b in edges.tolist()]
-                made.append((len(words), int(mask.sum()), spans, kept))
-            columns = list(zip(*made, strict=True))
-            types = [pa.int64(), pa.int64(), _SPANS, pa.string()]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), *arrays],
-                ["doc_id", "n_words", "n_removed", "removed", "kept_text"],
-            )
-
-    return joined.select("doc_id", "text", "found").mapInArrow(
-        remove,
-        "doc_id long, n_words long, n_removed long, removed array<struct<begin:long,end:long>>, kept_text string",
-    )
+    def remove(texts: pa.Table, found: pa.Table) -> pa.Table:
+        known = Found(found, np.uint64)
+        return pa.Table.from_batches(
+            [_without_repeats(part, known, window) for part in chunks(texts.to_batches())], _KEPT
+        )
+
+    return with_found(source, found, buckets, remove, _KEPT_SCHEMA)
 
 
 _SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
-def _removed_words(part: pa.RecordBatch, window: int) -> dict[int, np.ndarray]:
+_KEPT = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("n_words", pa.int64()),
+        ("n_removed", pa.int64()),
+        ("removed", _SPANS),
+        ("kept_text", pa.string()),
+    ]
+)
+_KEPT_SCHEMA = (
+    "doc_id long, n_words long, n_removed long, removed array<struct<begin:long,end:long>>, kept_text string"
+)
+
+
+def _without_repeats(part: pa.RecordBatch, found: Found, window: int) -> pa.RecordBatch:
+    masks = _removed_words(part, found, window)
+    made = []
+    for row, text in enumerate(part.column("text")):
+        words = (text.as_py() or "").encode().split()
+        mask = masks.get(row)
+        if mask is None:
+            made.append((len(words), 0, [], b" ".join(words).decode()))
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]]))).reshape(-1, 2)
+        kept = b" ".join(compress(words, ~mask)).decode()
+        spans = [{"begin": a, "end": b} for a, b in edges.tolist()]
+        made.append((len(words), int(mask.sum()), spans, kept))
+    columns = list(zip(*made, strict=True))
+    arrays = [pa.array(c, f.type) for c, f in zip(columns, list(_KEPT)[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], schema=_KEPT)
+
+
+def _removed_words(part: pa.RecordBatch, found: Found, window: int) -> dict[int, np.ndarray]:
     """For each row with hashes to remove, which of its words go."""
-    found = part.column("found")
-    rows = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-    if not len(rows):
+    wanted = {row: w.ravel() for row, w in enumerate(found.of(ids_of(part.column("doc_id")))) if len(w)}
+    if not wanted:
         return {}
+    rows = list(wanted)
     hashes, owner, before = window_hashes(part.column("text").take(pa.array(rows)), window)
     edges = np.searchsorted(owner, np.arange(len(rows) + 1))
     masks = {}
-    for i, row in enumerate(rows.tolist()):
-        wanted = np.frombuffer(b"".join(found[row].as_py()), dtype=np.uint64)
-        hit = np.isin(hashes[edges[i] : edges[i + 1]], wanted)
+    for i, row in enumerate(rows):
+        hit = np.isin(hashes[edges[i] : edges[i + 1]], wanted[row])
         change = np.zeros(int(before[i + 1] - before[i]) + 1, dtype=np.int64)
         places = np.flatnonzero(hit)
         np.add.at(change, places, 1)

@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import chunks, id_array, ids_of, packed, span_hashes, text_arrays, unpacked
+from .arrays import chunks, ids_of, packed, span_hashes, text_arrays, unpacked
+from .shards import FOUND, Found, pack_found, runs, with_found
 from .sizing import text_buckets
-from .substring import _FOUND, _SENT, by_document, deal, runs, sent_batch, sent_entries
+from .substring import SENT, deal, sent_batch, sent_entries
 
 LENGTH = 200
 GRAM = 32
@@ -28,8 +29,6 @@ GRAM = 32
 _STRETCH = 1 << 23
 _PLACE_BITS = np.uint64(24)
 
-_BLOCKS = "bucket int, keys binary, docs binary, starts binary, anchors binary, sizes binary, bytes binary, sure binary"
-_SPAN_ROWS = "doc_id long, spans binary"
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -122,15 +121,6 @@ def repeated_windows(
     return marks, offsets
 
 
-def _pack_spans(docs: list, begins: list, ends: list) -> pa.Table:
-    docs, begins, ends = (np.array(x, dtype=np.int64) for x in (docs, begins, ends))
-    order = np.lexsort((begins, docs))
-    pairs = np.stack([begins[order], ends[order]], axis=1)
-    first, counts = runs(docs[order])
-    blobs = [packed(pairs[b : b + n]) for b, n in zip(first, counts, strict=True)]
-    return pa.table({"doc_id": id_array(docs[order][first]), "spans": pa.array(blobs, pa.binary())})
-
-
 def _merged(spans: np.ndarray) -> np.ndarray:
     """Maximal runs from intervals sorted by their beginning."""
     if not len(spans):
@@ -173,77 +163,76 @@ def remove_repeated_bytes(docs: DataFrame, *, length: int = LENGTH, gram: int =
         _, counts = runs(keys[order])
         shared = order[np.repeat(counts > 1, counts)]
         sure_keys, sure_owners = sent_entries(table, True)
-        return by_document(np.concatenate([keys[shared], sure_keys]), np.concatenate([owners[shared], sure_owners]))
-
-    shared_keys = (
-        source.mapInArrow(scan, _SENT)
-        .groupBy("bucket")
-        .applyInArrow(count, _FOUND)
-        .groupBy(F.col("doc_id").alias("found_id"))
-        .agg(F.collect_list("hashes").alias("found"))
-    )
+        return pack_found(
+            np.concatenate([owners[shared], sure_owners]), np.concatenate([keys[shared], sure_keys]), buckets
+        )
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            yield from _cut_blocks(part, length, gram, buckets)
+    shared_keys = source.mapInArrow(scan, SENT).groupBy("bucket").applyInArrow(count, FOUND)
+
+    def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
+        known = Found(found, np.uint64)
+        made = [b for part in chunks(texts.to_batches()) for b in _cut_blocks(part, known, length, gram, buckets)]
+        return pa.Table.from_batches(made, _BLOCKS)
 
     def compare(table: pa.Table) -> pa.Table:
-        return _compare_blocks(table, length)
-
-    same = F.col("doc_id").eqNullSafe(F.col("found_id"))
-    spans = (
-        source.join(shared_keys, same)
-        .select("doc_id", "text", "found")
-        .mapInArrow(cut, _BLOCKS)
-        .groupBy("bucket")
-        .applyInArrow(compare, _SPAN_ROWS)
-        .groupBy(F.col("doc_id").alias("found_id"))
-        .agg(F.collect_list("spans").alias("found"))
-    )
+        return _compare_blocks(table, length, buckets)
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            made = []
-            for text, found in zip(part.column("text"), part.column("found"), strict=True):
-                data = (text.as_py() or "").encode()
-                spans = np.frombuffer(b"".join(found.as_py() or []), dtype=np.int64).reshape(-1, 2)
-                spans = np.minimum(_merged(spans[np.argsort(spans[:, 0], kind="stable")]), len(data))
-                spans = spans[spans[:, 0] < spans[:, 1]]
-                inner = [0, *spans.ravel().tolist(), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(inner[::2], inner[1::2], strict=True))
-                removed = [{"begin": a, "end": b} for a, b in spans.tolist()]
-                made.append((len(data), len(data) - len(kept), removed, kept))
-            columns = list(zip(*made, strict=True))
-            types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
-                ["doc_id", "n_bytes", "n_removed", "removed", "kept"],
-            )
+    blocks = with_found(source, shared_keys, buckets, cut, _BLOCKS_SCHEMA)
+    spans = blocks.groupBy("bucket").applyInArrow(compare, FOUND)
+
+    def remove(texts: pa.Table, found: pa.Table) -> pa.Table:
+        known = Found(found, np.int64, 2)
+        return pa.Table.from_batches([_without_spans(p, known) for p in chunks(texts.to_batches())], _KEPT)
+
+    return with_found(source, spans, buckets, remove, _KEPT_SCHEMA)
 
-    return (
-        source.join(spans, same, "left")
-        .select("doc_id", "text", "found")
-        .mapInArrow(
-            remove,
-            "doc_id long, n_bytes long, n_removed long, removed array<struct<begin:long,end:long>>, kept binary",
-        )
-    )
 
+_BLOCKS = pa.schema(
+    [("bucket", pa.int32())]
+    + [(n, pa.binary()) for n in ("keys", "docs", "starts", "anchors", "sizes", "bytes", "sure")]
+)
+_BLOCKS_SCHEMA = "bucket int, keys binary, docs binary, starts binary, anchors binary, sizes binary, bytes binary, sure binary"
+_KEPT = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("n_bytes", pa.int64()),
+        ("n_removed", pa.int64()),
+        ("removed", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
+        ("kept", pa.binary()),
+    ]
+)
+_KEPT_SCHEMA = "doc_id long, n_bytes long, n_removed long, removed array<struct<begin:long,end:long>>, kept binary"
 
-def _cut_blocks(part: pa.RecordBatch, length: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
+
+def _without_spans(part: pa.RecordBatch, found: Found) -> pa.RecordBatch:
+    made = []
+    for text, spans in zip(part.column("text"), found.of(ids_of(part.column("doc_id"))), strict=True):
+        data = (text.as_py() or "").encode()
+        spans = np.minimum(_merged(spans[np.argsort(spans[:, 0], kind="stable")]), len(data))
+        spans = spans[spans[:, 0] < spans[:, 1]]
+        inner = [0, *spans.ravel().tolist(), len(data)]
+        kept = b"".join(data[a:b] for a, b in zip(inner[::2], inner[1::2], strict=True))
+        made.append((len(data), len(data) - len(kept), [{"begin": a, "end": b} for a, b in spans.tolist()], kept))
+    columns = list(zip(*made, strict=True))
+    arrays = [pa.array(c, f.type) for c, f in zip(columns, list(_KEPT)[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], schema=_KEPT)
+
+
+def _cut_blocks(
+    part: pa.RecordBatch, found: Found, length: int, gram: int, buckets: int
+) -> Iterator[pa.RecordBatch]:
     """The blocks of a slice whose minimizer is shared, equal ones once; what repeats here is sure."""
     data, starts = text_arrays(part.column("text"))
     keys, text, first, end, anchor = blocks_of(data, starts, length, gram)
     if not len(keys):
         return
-    found = part.column("found")
-    edges = np.searchsorted(text, np.arange(part.num_rows + 1))
+    ids, whole = ids_of(part.column("doc_id")), data.tobytes()
+    edges = np.searchsorted(text, np.arange(part.num_rows + 1)).tolist()
     wanted = np.zeros(len(keys), dtype=bool)
-    for row in range(part.num_rows):
+    for row, shared in enumerate(found.of(ids)):
         low, high = edges[row], edges[row + 1]
-        if low < high:
-            wanted[low:high] = np.isin(keys[low:high], np.frombuffer(b"".join(found[row].as_py()), np.uint64))
-    ids, whole = ids_of(part.column("doc_id")), data.tobytes()
+        if low < high and len(shared):
+            wanted[low:high] = np.isin(keys[low:high], shared.ravel())
     seen: dict[tuple[int, bytes], int] = {}
     rows, sure = [], []
     for i in np.flatnonzero(wanted).tolist():
@@ -280,12 +269,11 @@ def _cut_blocks(part: pa.RecordBatch, length: int, gram: int, buckets: int) -> I
         )
     if made:
         columns = list(zip(*made, strict=True))
-        arrays = [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])]
-        names = ["bucket", "keys", "docs", "starts", "anchors", "sizes", "bytes", "sure"]
-        yield pa.RecordBatch.from_arrays(arrays, names)
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, _BLOCKS, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, schema=_BLOCKS)
 
 
-def _compare_blocks(table: pa.Table, length: int) -> pa.Table:
+def _compare_blocks(table: pa.Table, length: int, shards: int) -> pa.Table:
     """The intervals of all documents in which a bucket's blocks repeat one another."""
     keys, docs = unpacked(table["keys"], np.uint64), unpacked(table["docs"], np.int64)
     starts, anchors = unpacked(table["starts"], np.int64), unpacked(table["anchors"], np.int64)
@@ -320,4 +308,5 @@ def _compare_blocks(table: pa.Table, length: int) -> pa.Table:
             out_docs.append(int(docs[i]))
             out_begins.append(int(starts[i]) + a)
             out_ends.append(int(starts[i]) + b - 1 + length)
-    return _pack_spans(out_docs, out_begins, out_ends)
+    spans = np.stack([np.array(out_begins, np.int64), np.array(out_ends, np.int64)], axis=1)
+    return pack_found(np.array(out_docs, np.int64), spans, shards)
