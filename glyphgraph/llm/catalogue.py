@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, substring, suffix
+from . import bpe, exact, secret_scan, substring, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,12 +54,32 @@ def op1_bpe_encoding(spark, folder):
     )
 
 
+@_query
+def op2_secret_scans(spark, folder):
+    secrets = F.col("secrets")
+
+    def count(number: int):
+        return F.size(F.filter(secrets, lambda s: s["number"] == number)).cast("long")
+
+    counts = [count(n).alias(f"n_{r.kind}") for n, r in enumerate(secret_scan.RULES)]
+    # the production rules are the base ones, so all spans are base spans
+    spans = secret_scan.written(secrets)
+    return secret_scan.find_secrets(_documents(spark, folder)).select(
+        "doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans")
+    )
+
+
 @_query
 def op4_substring_dedup(spark, folder):
     kept = substring.remove_repeats(_documents(spark, folder))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@_query
+def op6_exact_dedup(spark, folder):
+    return exact.exact_groups(_documents(spark, folder))
+
+
 @_query
 def op8_suffix_array_dedup(spark, folder):
     kept = suffix.remove_repeated_bytes(_documents(spark, folder))

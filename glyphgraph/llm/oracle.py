@@ -2,7 +2,64 @@
 
 from __future__ import annotations
 
-_SQL: dict[str, str] = {}
+_LETTERS = {c: f"[{c.upper()}{c}]" for c in "abcdefghijklmnopqrstuvwxyz"}
+_KEYWORDS = "".join(_LETTERS.get(c, c) for c in "(password|passwd|secret|token|api_?key)")
+
+# The patterns, the group whose length counts, and that length.
+_SECRETS = {
+    "assign": (_KEYWORDS + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    "access": ("AKIA[A-Z0-9]+", 0, 16),
+    "hex": ("[0-9a-f]{32,}", 0, 32),
+}
+
+_FOUND = " union all ".join(
+    f"select doc_id, {n} as number, '{kind}' as kind, regexp_extract_all(body, '{pattern}', 0) as found,"
+    f" regexp_extract_all(body, '{pattern}', {group}) as taken, string_split_regex(body, '{pattern}') as gaps,"
+    f" {least} as least from bodies where regexp_matches(body, '{pattern}')"
+    for n, (kind, (pattern, group, least)) in enumerate(_SECRETS.items())
+)
+
+_SQL: dict[str, str] = {
+    "op2_secret_scans": f"""
+        with bodies as (select doc_id, coalesce(text, '') as body from documents),
+        found as ({_FOUND}),
+        matches as (
+            select *, unnest(generate_series(1, len(found))) as i from found
+        ),
+        spans as (
+            select doc_id, number, kind,
+                cast(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+                    + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) as bigint) as begins,
+                length(found[i]) as size
+            from matches where length(taken[i]) >= least
+        ),
+        joined as (
+            select doc_id,
+                count(*) filter (where kind = 'assign') as n_assign,
+                count(*) filter (where kind = 'access') as n_access,
+                count(*) filter (where kind = 'hex') as n_hex,
+                string_agg(kind || ':' || begins || ':' || (begins + size), ',' order by begins, number) as spans
+            from spans group by doc_id
+        )
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access,
+            coalesce(n_hex, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+        from documents left join joined using (doc_id)
+    """,
+    "op6_exact_dedup": """
+        with texts as (
+            select doc_id, length(coalesce(text, '')) as size,
+                regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as content
+            from documents
+        ),
+        ranked as (
+            select doc_id, content,
+                first_value(doc_id) over (partition by content order by size desc, doc_id) as keep_id,
+                count(*) over (partition by content) as group_size
+            from texts
+        )
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(content) as text_sha256 from ranked
+    """,
+}
 
 
 def all_sql() -> dict[str, str]:
