@@ -171,7 +171,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     if indexed:
         postings = materialize(trigram_index(docs, trigrams), "postings")
         maybe = candidates(postings, trigrams, indexed)
-        docs = docs.join(maybe, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+        # candidates grow with the texts, so they are never broadcast
+        docs = docs.join(maybe.hint("merge"), F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     none = F.expr("array()").cast("array<struct<begin:int,number:int,end:int>>")
     spans = []
     for number, rule in enumerate(rules):
