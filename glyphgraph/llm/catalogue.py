@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, secret_scan, substring, suffix
+from . import bpe, exact, partenum, secret_scan, substring, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,11 @@ def op2_secret_scans(spark, folder):
     )
 
 
+@_query
+def op3_ngram_jaccard_join(spark, folder):
+    return partenum.ngram_components(_documents(spark, folder))
+
+
 @_query
 def op4_substring_dedup(spark, folder):
     kept = substring.remove_repeats(_documents(spark, folder))
