@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, partenum, secret_scan, substring, suffix
+from . import ann, bpe, exact, partenum, quality, secret_scan, substring, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,3 +95,18 @@ def op8_suffix_array_dedup(spark, folder):
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@_query
+def op9_nearest_neighbours(spark, folder):
+    return ann.nearest(_table(spark, folder, "embeddings"))
+
+
+def bad_labels(labels: DataFrame) -> DataFrame:
+    """A labelled document is bad when it is of low quality or toxic."""
+    return labels.select("doc_id", F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
+
+
+@_query
+def op10_quality_classifier(spark, folder):
+    return quality.score_quality(_documents(spark, folder), bad_labels(_table(spark, folder, "labels")))
