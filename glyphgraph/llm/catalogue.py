@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact, partenum, quality, secret_scan, substring, suffix
+from . import ann, bpe, exact, line_dedup, mixing, partenum, quality, secret_scan, substring, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,11 +80,34 @@ def op4_substring_dedup(spark, folder):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+# The weights that the mixture should have, by language.
+TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled documents with their language as domain."""
+    known = labels.select("doc_id").where("doc_id is not null").distinct()
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(mixing.MOST_LABELLED)
+    return docs.select("doc_id", "text", F.col("lang").alias("domain")).join(F.broadcast(chosen), "doc_id", "left_semi")
+
+
+@_query
+def op5_mixing(spark, folder):
+    docs = _documents(spark, folder)
+    return mixing.fit_rates(docs, labelled_domains(docs, _table(spark, folder, "labels")), TARGETS)
+
+
 @_query
 def op6_exact_dedup(spark, folder):
     return exact.exact_groups(_documents(spark, folder))
 
 
+@_query
+def op7_line_dedup(spark, folder):
+    kept = line_dedup.remove_similar_lines(_documents(spark, folder))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @_query
 def op8_suffix_array_dedup(spark, folder):
     kept = suffix.remove_repeated_bytes(_documents(spark, folder))
