@@ -33,7 +33,7 @@ def fit_domains(labelled: DataFrame, *, most_labelled: int = MOST_LABELLED) -> t
     total = sum(n for _, n in domains)
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
     counts = sample.select("domain", F.explode(words).alias("word")).groupBy("word").pivot("domain", [d for d, _ in domains])
-    counts = counts.agg(F.count(F.lit(1)))
+    counts = materialize(counts.agg(F.count(F.lit(1))), "word-counts")
     shares = {d: (F.coalesce(F.col(f"`{d}`"), F.lit(0)) + 0.5) / (n + 1) for d, n in domains}
     best = []
     for d, _ in domains:
