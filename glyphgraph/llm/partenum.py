@@ -6,9 +6,9 @@ three pieces each, very common shingles left out; with n1 above k / 2 some part
 are equal in both sets: every pair of pieces gives a signature, and the sets share one. Sets with too many
 empty pieces for that also give the shingles of their prefix as signatures, which similar sets share as well.
 
-Sets that share a signature are compared exactly, first each with a pivot of the group. Where that leaves a
-group in several components, its members meet in blocks of bounded size, in which all of them are compared,
-so no link is lost; what a block gives back are fewer links than it has members.
+Sets that share signatures, directly or by way of others, make a cluster. Each set is sent to its cluster
+once, or to several blocks of bounded size if the cluster is large, and every two sets of a cluster are
+compared exactly in some block; what a block gives back are fewer links than it has members.
 """
 
 from __future__ import annotations
@@ -144,11 +144,6 @@ def signatures(hashes: np.ndarray, edges: np.ndarray, common: np.ndarray) -> tup
     return np.concatenate(made), np.concatenate(owners)
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return OF * both >= SIMILAR * (len(a) + len(b) - both)
-
-
 def ngram_components(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     """The component of every document: (doc_id, n_shingles, component_id), one row per row.
 
@@ -241,17 +236,12 @@ def ngram_components(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
         "candidates",
     )
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        sides = [shingles.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
-        both = pairs.join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b")
-        return materialize(both.mapInArrow(_verify, "a long, b long"), "edges")
-
-    numbered = _numbered(groups)
-    edges = verified(_pivot_pairs(numbered))
-    torn = _torn(numbered, materialize(components(edges), "components"))
-    sets_in_blocks = _in_blocks(torn).join(shingles.hint("merge"), F.col("id") == F.col("doc_id"))
-    inside = sets_in_blocks.select("name", "block", "id", "shingles").groupBy("name", "block")
-    linked = components(edges.unionByName(materialize(inside.applyInArrow(_compare_block, "a long, b long"), "edges")))
+    stars = groups.select(F.col("members")[0].alias("a"), F.explode("members").alias("b")).where("a <> b").distinct()
+    clusters = materialize(components(stars), "clusters")
+    blocks = _in_blocks(clusters).join(shingles.hint("merge"), F.col("id") == F.col("doc_id"))
+    inside = blocks.select("name", "block", "id", "shingles").groupBy("name", "block")
+    edges = materialize(inside.applyInArrow(_compare_block, "a long, b long"), "edges")
+    linked = components(edges)
     # rows whose sets are equal are one class, known by its smallest document
     prints = sets.where("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "one", "two")
     classes = materialize(prints.agg(F.min("doc_id").alias("class_id")), "classes")
@@ -264,41 +254,17 @@ def ngram_components(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     return joined.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _numbered(groups: DataFrame) -> DataFrame:
-    """The members of groups: (name, place, id). Those that are in most groups come first, as they have the
-    most in common with others and so make the best pivots."""
-    members = groups.select(F.xxhash64("members").alias("name"), F.explode("members").alias("id"))
-    often = members.groupBy("id").agg(F.count("*").alias("often"))
-    order = W.partitionBy("name").orderBy(F.col("often").desc(), "id")
-    placed = members.join(often.hint("merge"), "id").select("name", "id", (F.row_number().over(order) - 1).alias("place"))
-    return materialize(placed, "members")
-
-
-def _pivot_pairs(numbered: DataFrame) -> DataFrame:
-    """The pairs (a, b) of each group's pivot and its other members."""
-    pivot = numbered.where("place = 0").select("name", F.col("id").alias("p"))
-    pairs = numbered.where("place > 0").join(pivot.hint("merge"), "name")
-    return pairs.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-
-
-def _torn(numbered: DataFrame, linked: DataFrame) -> DataFrame:
-    """The members of groups that are in several components even without the pivot: (name, place, id)."""
-    rest = numbered.where("place > 0").join(linked.hint("merge"), "id", "left")
-    rest = rest.withColumn("component", F.coalesce("component", "id"))
-    spread = rest.groupBy("name").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    torn = spread.where("low <> high").select("name")
-    return rest.join(torn.hint("merge"), "name", "left_semi").select("name", "place", "id")
-
-
-def _in_blocks(torn: DataFrame) -> DataFrame:
-    """Members by block: (name, block, id). Every two members of a group meet in a block of bounded size."""
-    last = torn.groupBy("name").agg(F.max(F.expr(f"place div {_BLOCK}")).alias("last"))
+def _in_blocks(clusters: DataFrame) -> DataFrame:
+    """Members by block: (name, block, id). Every two members of a cluster meet in a block of bounded size."""
+    place = (F.row_number().over(W.partitionBy("component").orderBy("id")) - 1).cast("long")
+    placed = clusters.select(F.col("component").alias("name"), "id", place.alias("place"))
     own = F.expr(f"place div {_BLOCK}")
+    last = placed.groupBy("name").agg(F.max(own).alias("last"))
     others = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("last")),
         lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high")),
     )
-    return torn.join(last.hint("merge"), "name").select("name", F.explode(others).alias("block"), "id")
+    return placed.join(last.hint("merge"), "name").select("name", F.explode(others).alias("block"), "id")
 
 
 def _compare_block(table: pa.Table) -> pa.Table:
@@ -329,14 +295,6 @@ def _compare_block(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = batch.schema.names
-        sets = [[np.frombuffer(s.as_py(), np.uint64) for s in batch.column(names.index(n))] for n in ("set_a", "set_b")]
-        linked = pa.array([_linked(a, b) for a, b in zip(*sets, strict=True)], pa.bool_())
-        yield batch.select(["a", "b"]).filter(linked)
-
-
 def _dealt(made: np.ndarray, owner: np.ndarray, ids: np.ndarray, one: np.ndarray, buckets: int) -> pa.RecordBatch:
     bucket = (made >> np.uint64(44)).astype(np.int64) % buckets
     order = np.lexsort((owner, bucket))
