@@ -26,9 +26,7 @@ HEADLINES = [
     "triplets",
     "weighted_comment_edges",
     "label_chars",
-    "label_chars_50",
     "segment_text",
-    "segment_text_50",
     "segment_slice",
     "cut_result_lines",
     "export_edges",

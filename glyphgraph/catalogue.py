@@ -281,23 +281,11 @@ def label_chars(spark, folder):
     return _labels(spark, folder)
 
 
-@_query
-def label_chars_50(spark, folder):
-    return _labels(spark, folder, segmentation.REFERENCE_ROUNDS)
-
-
 @_query
 def segment_text(spark, folder):
     return segmentation.segment_texts(_comments(spark, folder), _corpus(spark, folder))
 
 
-@_query
-def segment_text_50(spark, folder):
-    return segmentation.segment_texts(
-        _comments(spark, folder), _corpus(spark, folder), max_rounds=segmentation.REFERENCE_ROUNDS
-    )
-
-
 @_query
 def segment_slice(spark, folder):
     part = texts.comment_slice(_comments(spark, folder))
@@ -311,16 +299,13 @@ def cut_result_lines(spark, folder):
 
 @_query
 def export_nodes(spark, folder):
-    part = texts.comment_slice(_comments(spark, folder))
-    return results.export_nodes(
-        segmentation.label_characters(part, _corpus(spark, folder))
-    )
+    labelled = segmentation.label_characters(_comments(spark, folder), _corpus(spark, folder))
+    return results.export_nodes(labelled)
 
 
 @_query
 def export_edges(spark, folder):
-    part = texts.comment_slice(_comments(spark, folder))
-    return results.export_edges(texts.weighted_edges(part, _corpus(spark, folder)))
+    return results.export_edges(weighted_comment_edges(spark, folder))
 
 
 # last, as it takes as many jobs as it has rounds

@@ -37,13 +37,19 @@ def text_units(comments: DataFrame, unit_characters: int = UNIT_CHARACTERS) -> D
     text gives no row; an empty text gives one with an empty body.
     """
     content = F.col("content")
-    # linear in the text, where repeated substring() calls would be quadratic
-    stretches = F.when(F.char_length(content) <= unit_characters, F.array(content)).otherwise(
-        F.regexp_extract_all(content, F.lit(f"(?s).{{1,{unit_characters}}}"), F.lit(0))
+    # split once; a regular expression for stretches would recurse where characters change in width
+    long = F.when(F.char_length(content) > unit_characters, F.split(content, ""))
+    chars, last = F.col("chars"), F.size("chars") - 1
+    stretches = F.when(chars.isNull(), F.array(content)).otherwise(
+        F.transform(
+            F.sequence(F.lit(0), last, F.lit(unit_characters)),
+            lambda start: F.array_join(F.slice(chars, start + 1, unit_characters), ""),
+        )
     )
     unit = F.col("unit")
     return (
         comments.where(content.isNotNull())
+        .select("comment_id", "content", long.alias("chars"))
         .select("comment_id", stretches.alias("units"))
         # the outer form keeps Spark from evaluating the cutting a second time in a derived filter
         .select("comment_id", "units", F.posexplode_outer("units").alias("unit", "body"))

@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the session's checkpoint folder.
 
-    A cluster names it in `spark.checkpoint.dir`. Only where nothing is named (a local session, as in
-    tests) a temporary folder is made and set.
+    A cluster names it in `spark.checkpoint.dir`. Only a local session that names nothing, as in tests, gets
+    a temporary folder; on a cluster, executors would not share one, so that is an error.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured and not context.getCheckpointDir():
         context.setCheckpointDir(configured)
     if not context.getCheckpointDir():
+        if not context.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="glyphgraph-"))
     return context.getCheckpointDir()
 

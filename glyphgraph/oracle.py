@@ -158,14 +158,8 @@ _FINAL = {
         " where p.comment_id = c.comment_id and p.pos = c.pos)",
     ),
     "label_chars": (["labelled"], "select comment_id, pos, ch, label from labelled"),
-    "label_chars_50": (["labelled50"], "select * from labelled50"),
     "pregel_labels": (["labelled50"], "select * from labelled50"),
     "segment_text": (["segmented"], "select * from segmented"),
-    "segment_text_50": (
-        ["segmented"],
-        "select comment_id, case when length(content) > 51 then right(content, 1) else segmented end"
-        " as segmented from segmented join docs using (comment_id)",
-    ),
     "segment_slice": (
         ["segmented", "slice"],
         "select comment_id, segmented from segmented where comment_id in (select comment_id from slice)",
@@ -177,16 +171,16 @@ _FINAL = {
         " union all select comment_id, 2, '' from segmented",
     ),
     "export_nodes": (
-        ["labelled", "slice"],
+        ["labelled"],
         "select comment_id || ':' || pos as id, ch || label || w_out as label"
-        " from labelled where comment_id in (select comment_id from slice)",
+        " from labelled",
     ),
     "export_edges": (
-        ["weighted", "slice"],
+        ["weighted"],
         "select comment_id || ':' || pos || '->' || comment_id || ':' || (pos + 1) as id,"
         " comment_id || ':' || pos as src, comment_id || ':' || (pos + 1) as dst,"
         " cast(weight as varchar) as label, cast(0.1 as double) as layout_weight"
-        " from weighted where comment_id in (select comment_id from slice)",
+        " from weighted",
     ),
 }
 

@@ -115,3 +115,10 @@ def test_comment_slice(spark, comments):
     ids = [r["comment_id"] for r in comment_slice(frame).collect()]
     assert ids == list(range(322, 372))
     assert comment_slice(frame, skip=600).count() == 0
+
+
+@pytest.mark.parametrize("text", ["😀a" * 40000, "aaa😀" * 20000])
+def test_long_texts_of_mixed_width(comments, text):
+    units = text_units(comments(text)).orderBy("unit").collect()
+    assert "".join(u["body"] for u in units) == text
+    assert all(len(u["body"]) == 65536 for u in units[:-1])

@@ -6,8 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from glyphgraph import catalogue, oracle
 
-NAMES = sorted(entry_points.queries())
+NAMES = sorted(catalogue.all_queries())
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +36,7 @@ def duck(folder):
 
 
 def test_every_query_has_sql():
-    assert NAMES == sorted(entry_points.oracle_sql())
+    assert NAMES == sorted(oracle.all_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
