@@ -162,14 +162,14 @@ def ngram_components(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
             one, two = _prints(hashes, edges)
             names = ["doc_id", "n_shingles", "one", "two", "is_set"]
             arrays = [part.column("doc_id"), pa.array(np.diff(edges)), pa.array(one), pa.array(two)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([True] * part.num_rows)], names)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([True] * part.num_rows, pa.bool_())], names)
             # in the same pass: how many texts of the slice have its most frequent shingles
             values, counts = np.unique(hashes, return_counts=True)
             frequent = counts >= max(3, part.num_rows // (2 * COMMON_SHARE))
             n = int(frequent.sum())
             none = pa.nulls(n, pa.int64())
             arrays = [none, pa.array(counts[frequent]), pa.array(values[frequent].view(np.int64)), none]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([False] * n)], names)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([False] * n, pa.bool_())], names)
 
     described = materialize(
         source.mapInArrow(describe, "doc_id long, n_shingles long, one long, two long, is_set boolean"), "sets"
