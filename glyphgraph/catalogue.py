@@ -269,16 +269,10 @@ def path_ends(spark, folder):
 # labels and segmented text
 
 
-def _labels(spark, folder, max_rounds=None):
-    labelled = segmentation.label_characters(
-        _comments(spark, folder), _corpus(spark, folder), max_rounds=max_rounds
-    )
-    return labelled.select("comment_id", "pos", "ch", "label")
-
-
 @_query
 def label_chars(spark, folder):
-    return _labels(spark, folder)
+    labelled = segmentation.label_characters(_comments(spark, folder), _corpus(spark, folder))
+    return labelled.select("comment_id", "pos", "ch", "label")
 
 
 @_query
@@ -308,7 +302,7 @@ def export_edges(spark, folder):
     return results.export_edges(weighted_comment_edges(spark, folder))
 
 
-# last, as it takes as many jobs as it has rounds
+# last, as it takes several jobs a round
 
 
 @_query

@@ -76,9 +76,7 @@ class Graph:
             else F.col(c)
             for c in self.vertex_attributes
         ]
-        joined = lookup_join(
-            self.vertices, renamed, "id", broadcast_bytes=broadcast_bytes, unique=True
-        )
+        joined = lookup_join(self.vertices, renamed, "id", broadcast_bytes=broadcast_bytes)
         return Graph(joined.select("id", *values), self.edges)
 
     # structure

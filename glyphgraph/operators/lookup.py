@@ -11,9 +11,6 @@ from .storage import materialize
 # A lookup table is broadcast only when its estimated size in memory is at most this.
 BROADCAST_BYTES = 256 << 20
 
-# A key is hot when it holds more than 1/HOT_KEYS of all rows, so there are fewer than HOT_KEYS of them.
-HOT_KEYS = 1000
-
 _ROW_OVERHEAD = 64  # hash relation entry: key, pointers and row header
 _FIXED_FIELD = 16
 
@@ -60,44 +57,17 @@ def lookup_join(
     *,
     broadcast_bytes: int = BROADCAST_BYTES,
     small: bool | None = None,
-    unique: bool = False,
 ) -> DataFrame:
     """`left` with the columns of `right` for its `key`, NULL where `right` has no such key.
 
     `right` must hold a key at most once. When its size is within `broadcast_bytes` it is broadcast and
-    `left` is not shuffled. Beyond that both sides are shuffled on the key, apart from hot keys of
-    `left`, whose rows stay where they are; `unique` tells that `left` has none, as it too holds a key
-    at most once. Pass `small` when the size has been checked already.
+    `left` is not shuffled. Beyond that it is one merge join, so `left` is computed once; where a key is
+    hot, adaptive execution cuts that partition of `left` into pieces. Pass `small` when the size has been
+    checked already.
     """
     if small is None:
         small = fits_broadcast(right, broadcast_bytes)
     if small:
         return left.join(F.broadcast(right), key, "left")
-    if unique:
-        # named, because Spark may take an expanded table for small and broadcast it
-        return left.join(right.hint("merge"), key, "left")
-    return _split_join(left, right, key)
-
-
-def _split_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    keyed = left.where(F.col(key).isNotNull())
-    # combined on the map side: at most one row per key and task is shuffled
-    counts = materialize(keyed.groupBy(key).agg(F.count("*").alias("n")), "key-counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # fewer than HOT_KEYS rows whatever the data, as each key holds over 1/HOT_KEYS of `total`
-    hot = counts.where(F.col("n") * HOT_KEYS > total).select(key)
-    hot_right = right.join(F.broadcast(hot), key, "left_semi")
-    hot_table = materialize(hot.join(F.broadcast(hot_right), key, "left"), "hot-keys")
-
-    columns = [*left.columns, *[c for c in right.columns if c != key]]
-    hot_rows = keyed.join(F.broadcast(hot_table), key)
-    cold_rows = keyed.join(F.broadcast(hot), key, "left_anti").join(right, key, "left")
-    empty = [
-        F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key
-    ]
-    null_rows = left.where(F.col(key).isNull()).select(*left.columns, *empty)
-    return (
-        hot_rows.select(columns)
-        .unionByName(cold_rows.select(columns))
-        .unionByName(null_rows.select(columns))
-    )
+    # named, because Spark may take an expanded table for small and broadcast it
+    return left.join(right.hint("merge"), key, "left")

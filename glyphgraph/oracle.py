@@ -66,10 +66,6 @@ _TABLES = {
         " when 10 * w_in < 7 * w_out then 'B' when (w_in - w_out) // w_out > 0.1 then 'E' else 'I' end"
         " as label from sides",
     ),
-    "labelled50": (
-        ["labelled"],
-        "select comment_id, pos, ch, case when pos > 50 then 'U' else label end as label from labelled",
-    ),
     "segmented": (
         ["labelled"],
         "select comment_id, string_agg(case label when 'E' then ch || ' ' when 'B' then ' ' || ch"
@@ -158,7 +154,7 @@ _FINAL = {
         " where p.comment_id = c.comment_id and p.pos = c.pos)",
     ),
     "label_chars": (["labelled"], "select comment_id, pos, ch, label from labelled"),
-    "pregel_labels": (["labelled50"], "select * from labelled50"),
+    "pregel_labels": (["labelled"], "select comment_id, pos, ch, label from labelled"),
     "segment_text": (["segmented"], "select * from segmented"),
     "segment_slice": (
         ["segmented", "slice"],

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphgraph.functions import END_RATIO_FRACTIONAL, label_of
-from glyphgraph.operators import Graph
+from glyphgraph.operators import Graph, all_characters
 from glyphgraph.plans.comments import comment_graph, path_ends, path_starts, weighted_edges
 from glyphgraph.plans.segmentation import (
     glue_labels,
@@ -100,86 +100,72 @@ def test_golden_weights(comments, sample_corpus):
     assert [r["src_name"] + r["dst_name"] for r in rows] == ["速度", "度很", "很快", "快，"]
 
 
-@pytest.mark.parametrize("rounds", [None, 50, 7])
-def test_closed_form_is_the_vertex_program(comments, random_texts, random_corpus, rounds):
+def test_closed_form_is_the_vertex_program(comments, random_texts, random_corpus):
     weights, corpus = random_corpus
     frame = comments(*random_texts)
-    expected = {
-        i: simulate(t, weights, 10**6 if rounds is None else rounds) for i, t in enumerate(random_texts, 1)
-    }
-    found = labels(label_characters(frame, corpus, max_rounds=rounds))
-    assert found == {i: e[0] for i, e in expected.items()}
-    assert texts(segment_texts(frame, corpus, max_rounds=rounds)) == {
-        i: e[1] for i, e in expected.items()
-    }
-
-
-@pytest.mark.parametrize("rounds", [0, 1, 6])
-def test_pregel_gives_the_same_labels_and_texts(comments, random_texts, random_corpus, rounds):
+    expected = {i: simulate(t, weights, 10**6) for i, t in enumerate(random_texts, 1)}
+    assert labels(label_characters(frame, corpus)) == {i: e[0] for i, e in expected.items()}
+    assert texts(segment_texts(frame, corpus)) == {i: e[1] for i, e in expected.items()}
+
+
+def test_pregel_gives_the_same_labels(comments, random_texts, random_corpus):
     _, corpus = random_corpus
     frame = comments(*random_texts[:12]).repartition(3)
-    graph = pregel_labels(frame, corpus, max_rounds=rounds)
-    rows = graph.vertices.select("id.comment_id", "id.pos", "label")
-    assert labels(rows) == labels(label_characters(frame, corpus, max_rounds=rounds))
+    rows = pregel_labels(frame, corpus).vertices.select("id.comment_id", "id.pos", "label")
+    assert labels(rows) == labels(label_characters(frame, corpus))
 
-    glued = pregel_glue(
-        graph.map_vertices(name=F.col("name"), label=F.col("label")), max_rounds=rounds
-    )
+
+def test_pregel_gives_the_same_texts(comments, random_texts, random_corpus):
+    _, corpus = random_corpus
+    frame = comments(*[text[:5] for text in random_texts[:8]]).repartition(3)
+    graph = pregel_labels(frame, corpus)
+    glued = pregel_glue(graph.map_vertices(name=F.col("name"), label=F.col("label")))
     ends = path_ends(frame).select(F.struct("comment_id", "pos").alias("id"))
     segmented = glued.members(ends).select("id.comment_id", F.col("text").alias("segmented"))
-    assert texts(segmented) == texts(segment_texts(frame, corpus, max_rounds=rounds))
+    assert texts(segmented) == texts(segment_texts(frame, corpus))
 
 
 def test_pregel_without_broadcast(comments, random_texts, random_corpus):
     _, corpus = random_corpus
     frame = comments(*random_texts[:6])
-    graph = pregel_labels(frame, corpus, max_rounds=4, broadcast_bytes=0)
+    graph = pregel_labels(frame, corpus, broadcast_bytes=0)
     rows = graph.vertices.select("id.comment_id", "id.pos", "label")
-    assert labels(rows) == labels(label_characters(frame, corpus, max_rounds=4))
+    assert labels(rows) == labels(label_characters(frame, corpus))
 
 
-@pytest.mark.parametrize("rounds", [None, 50])
-def test_corpus_beyond_the_broadcast_bound(comments, random_texts, random_corpus, rounds):
+def test_corpus_beyond_the_broadcast_bound(comments, random_texts, random_corpus):
     _, corpus = random_corpus
     frame = comments(*random_texts)
-    big = {"max_rounds": rounds, "broadcast_bytes": 0}
-    assert labels(label_characters(frame, corpus, **big)) == labels(
-        label_characters(frame, corpus, max_rounds=rounds)
-    )
-    assert texts(segment_texts(frame, corpus, **big)) == texts(
-        segment_texts(frame, corpus, max_rounds=rounds)
-    )
+    big = {"broadcast_bytes": 0}
+    assert labels(label_characters(frame, corpus, **big)) == labels(label_characters(frame, corpus))
+    assert texts(segment_texts(frame, corpus, **big)) == texts(segment_texts(frame, corpus))
 
 
 @pytest.mark.parametrize("size", [1, 7, 64])
-@pytest.mark.parametrize("rounds", [None, 50])
-def test_texts_cut_into_stretches(comments, random_texts, random_corpus, size, rounds):
+def test_texts_cut_into_stretches(comments, random_texts, random_corpus, size):
     _, corpus = random_corpus
     frame = comments(*random_texts)
-    cut = segment_texts(frame, corpus, unit_size=size, max_rounds=rounds)
-    assert texts(cut) == texts(segment_texts(frame, corpus, max_rounds=rounds))
+    cut = segment_texts(frame, corpus, unit_size=size)
+    assert texts(cut) == texts(segment_texts(frame, corpus))
 
 
-def test_round_limit(spark, comments):
+@pytest.mark.parametrize("text", ["😀a" * 40000, "aaa😀" * 20000], ids=["often", "sometimes"])
+def test_long_texts_whose_characters_change_in_width(spark, comments, text):
     empty = spark.createDataFrame([], "src string, dst string, weight long")
-    frame = comments("一" * 51, "一" * 52)
-    limited = {"max_rounds": 50}
-    assert labels(label_characters(frame, empty, **limited)) == {1: "A" + "E" * 50, 2: "A" + "E" * 50 + "U"}
-    assert texts(segment_texts(frame, empty, **limited)) == {1: "一" + "一 " * 50, 2: "一"}
-    assert texts(segment_texts(frame, empty))[2] == "一" + "一 " * 51
+    assert texts(segment_texts(comments(text), empty)) == {1: text[0] + "".join(c + " " for c in text[1:])}
+    assert all_characters(comments(text)).count() == len(text)
 
 
 def test_null_text_gives_no_rows(comments, sample_corpus):
     frame = comments(None, "不错")
     assert labels(label_characters(frame, sample_corpus)) == {2: "AE"}
     assert texts(segment_texts(frame, sample_corpus)) == {2: "不错 "}
-    assert texts(segment_texts(frame, sample_corpus, max_rounds=50)) == {2: "不错 "}
 
 
-@pytest.mark.parametrize("rows", [[(1, "不错"), (1, "很好")], [(None, "不错")]])
+@pytest.mark.parametrize("rows", [[(1, "不错"), (1, "很好")], [(None, "不错")], [(1, "不错"), (1, "很好很好")]])
 def test_comment_ids_must_be_unique(comments, sample_corpus, rows):
     with pytest.raises(Exception, match="unique"):
-        segment_texts(comments(*rows), sample_corpus).collect()
+        segment_texts(comments(*rows), sample_corpus, unit_size=3).collect()
 
 
 def test_pair_stored_twice_is_added_up(spark, comments):
@@ -248,28 +234,3 @@ def test_glue_given_labels_by_vertex_program(spark):
     glued = pregel_glue(Graph(vertices, edges))
     found = {r["id"] // 100: r["text"] for r in glued.members(Graph(vertices, edges).sinks()).collect()}
     assert found == {k: p[2] for k, p in enumerate(PATHS)}
-
-
-def test_glue_round_limit(spark):
-    rows = spark.createDataFrame(
-        [(1, p, "x", "I") for p in range(52)] + [(2, p, "y", "I") for p in range(51)],
-        "path long, pos long, name string, label string",
-    )
-    assert dict(map(tuple, glue_labels(rows, max_rounds=50).collect())) == {1: "x", 2: "y" * 51}
-
-
-def test_segmented_text_keeps_the_characters(comments, random_texts, random_corpus):
-    _, corpus = random_corpus
-    found = texts(segment_texts(comments(*random_texts), corpus))
-    for i, text in enumerate(random_texts, 1):
-        assert found[i].replace(" ", "") == text.replace(" ", "")
-
-
-def test_comment_graph_starts_and_ends(comments, random_texts, sample_corpus):
-    frame = comments(*random_texts, "")
-    graph = comment_graph(frame, sample_corpus)
-    by_join = graph.sources().select("id.comment_id", "id.pos")
-    assert sorted(by_join.collect()) == sorted(path_starts(frame).collect())
-    by_join = graph.sinks().select("id.comment_id", "id.pos")
-    assert sorted(by_join.collect()) == sorted(path_ends(frame).collect())
-    assert graph.vertices.count() == sum(len(t) for t in random_texts) + 1
