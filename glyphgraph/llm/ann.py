@@ -93,9 +93,13 @@ def _unpack(table: pa.Table, width: int) -> tuple[np.ndarray, ...]:
     return a, b, c, np.frombuffer(whole[3], np.float64).reshape(-1, width)
 
 
-def _slots(tables: np.ndarray, keys: np.ndarray, shards: int) -> np.ndarray:
-    mixed = (keys ^ (tables << 58)) * np.int64(0x5851F42D4C957F2D)
-    return ((mixed >> 33) & 0x7FFFFFFF) % shards
+def _slots(tables: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The coarse place of a bucket: its table, and a quarter of its first two cells.
+
+    Buckets that one query visits lie within two cells of its own, so it meets at most four places of a table,
+    however much data or however many partitions there are.
+    """
+    return tables << 20 | (keys >> 12 * HASHES - 10 & 0x3FF) << 10 | keys >> 12 * HASHES - 22 & 0x3FF
 
 
 def nearest(
@@ -136,7 +140,6 @@ def nearest(
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))
     size = clean.agg(F.max(length).alias("longest"), F.count("*").alias("n")).first()
     hasher = Hasher(width, size["longest"] or 1.0)
-    shards = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = -(-size["n"] // BLOCK_VECTORS) or 1
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +148,7 @@ def nearest(
             rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, width)
             for table in range(TABLES):
                 keys, tables = hasher.keys(rows, table), np.full(len(rows), table)
-                yield _packs(_slots(tables, keys, shards) * blocks + names % blocks, tables, keys, names, rows)
+                yield _packs(_slots(tables, keys) * blocks + names % blocks, tables, keys, names, rows)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,9 +158,9 @@ def nearest(
                 who = np.repeat(np.arange(len(rows)), PROBES)
                 for table in range(TABLES):
                     keys, tables = hasher.probes(rows, table).ravel(), np.full(len(who), table)
-                    slot = _slots(tables, keys, shards)
+                    slot = _slots(tables, keys)
                     for block in range(blocks):
-                        # a shard gets each query's vector once, with the list of its probes
+                        # a place gets each query's vector once, with the list of its probes
                         yield _probe_packs(slot * blocks + block, tables, keys, who, part.column(0).to_numpy(), rows)
 
     def search(entries: pa.Table, probes: pa.Table) -> pa.Table:
@@ -196,7 +199,7 @@ def _probe_packs(slots, tables, keys, who, names, rows) -> pa.RecordBatch:
 
 
 def _search(entries: pa.Table, probes: pa.Table, width: int, keep: int) -> pa.Table:
-    """The best `keep` entries of every query among the buckets of a shard that it visits."""
+    """The best `keep` entries of every query among the buckets of a place that it visits."""
     none = pa.table({"asked": pa.array([], pa.int64()), "name": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     if not entries.num_rows or not probes.num_rows:
         return none
