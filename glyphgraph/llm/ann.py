@@ -20,10 +20,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.storage import materialize
+from .shards import runs
 
 TABLES, HASHES, PROBES, CELL = 4, 5, 420, 1.0
 NEIGHBOURS = 20
 BLOCK_VECTORS = 1 << 20
+# A search multiplies at most so many vectors by so many queries at a time.
+PIECE_ROWS, PIECE_PAIRS = 1 << 12, 1 << 16
 
 _OFFSETS = np.array(list(product(range(-2, 3), repeat=HASHES)))
 _PACK = "slot long, rows int, tables binary, keys binary, names binary, vectors binary"
@@ -199,38 +202,63 @@ def _probe_packs(slots, tables, keys, who, names, rows) -> pa.RecordBatch:
 
 
 def _search(entries: pa.Table, probes: pa.Table, width: int, keep: int) -> pa.Table:
-    """The best `keep` entries of every query among the buckets of a place that it visits."""
+    """The best `keep` entries of every query among the buckets of a place that it visits.
+
+    A bucket's vectors lie side by side and meet all its visitors in one product, in pieces of bounded size.
+    What may be among a visitor's best is then scored by itself, the same way in every task.
+    """
     none = pa.table({"asked": pa.array([], pa.int64()), "name": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     if not entries.num_rows or not probes.num_rows:
         return none
     tables, keys, names, rows = _unpack(entries, width)
-    order = np.lexsort((keys, tables))
-    cuts = np.flatnonzero((np.diff(keys[order]) != 0) | (np.diff(tables[order]) != 0)) + 1
-    buckets = {(int(tables[p[0]]), int(keys[p[0]])): p for p in np.split(order, cuts)}
-    asked, visits = {}, {}
-    for t, k, n, w, v in zip(*(probes[c].to_pylist() for c in ("tables", "keys", "names", "whose", "vectors")), strict=True):
-        own, local = np.frombuffer(n, np.int64), np.frombuffer(w, np.int64)
-        vectors = np.frombuffer(v, np.float64).reshape(-1, width)
-        for i, name in enumerate(own.tolist()):
-            asked.setdefault(name, vectors[i])
-        for table, key, name in zip(np.frombuffer(t, np.int64).tolist(), np.frombuffer(k, np.int64).tolist(), own[local].tolist(), strict=True):
-            if (table, key) in buckets:
-                visits.setdefault(name, []).append((table, key))
-    out = [[], [], []]
-    for name, visited in visits.items():
-        places = np.concatenate([buckets[v] for v in visited])
-        _, once = np.unique(names[places], return_index=True)
-        places = places[once]
-        score = rows[places] @ asked[name]
-        if len(score) > keep:
-            # every entry as good as the last one kept stays, so ties are settled at the end
-            least = np.partition(score, len(score) - keep)[len(score) - keep]
-            places, score = places[score >= least], score[score >= least]
-            best = np.lexsort((names[places], -score))[:keep]
-            places, score = places[best], score[best]
-        out[0].append(np.full(len(places), name))
-        out[1].append(names[places])
-        out[2].append(score)
-    if not out[0]:
+    code = tables << 12 * HASHES | keys
+    order = np.argsort(code, kind="stable")
+    names, rows = names[order], rows[order]
+    buckets, begins = np.unique(code[order], return_index=True)
+    ends = np.append(begins[1:], len(order))
+
+    tables, keys, asked, vectors = _unpack(probes.select(["tables", "keys", "names", "vectors"]), width)
+    per_pack = [len(n) // 8 for n in probes["names"].to_pylist()]
+    first = np.cumsum(per_pack) - per_pack
+    who = np.concatenate([np.frombuffer(w, np.int64) + f for w, f in zip(probes["whose"].to_pylist(), first, strict=True)])
+    wanted = tables << 12 * HASHES | keys
+    place = np.minimum(np.searchsorted(buckets, wanted), len(buckets) - 1)
+    hit = buckets[place] == wanted
+    place, who = place[hit], who[hit]
+    if not len(who):
         return none
-    return pa.table({c: pa.array(np.concatenate(o)) for c, o in zip(("asked", "name", "score"), out, strict=True)})
+    order = np.argsort(place, kind="stable")
+    place, who = place[order], who[order]
+
+    # what rounding can do to a score; the least that a query's next candidate must have
+    slack = 1e-12 * np.linalg.norm(vectors, axis=1) * np.linalg.norm(rows, axis=1).max()
+    least = np.full(len(asked), -np.inf)
+    best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        asks, finds = (np.concatenate(w) for w in zip(*waiting, strict=True))
+        waiting.clear()
+        score = np.concatenate([best[2], (rows[finds] * vectors[asks]).sum(axis=1)])
+        asks, finds = np.concatenate([best[0], asks]), np.concatenate([best[1], finds])
+        order = np.lexsort((names[finds], -score, asks))
+        begin, size = runs(asks[order])
+        rank = np.arange(len(order)) - np.repeat(begin, size)
+        full = begin[size >= keep] + keep - 1
+        least[asks[order[full]]] = score[order[full]] - slack[asks[order[full]]]
+        order = order[rank < keep]
+        return asks[order], finds[order], score[order]
+
+    for begin, size in zip(*runs(place), strict=True):
+        bucket, visitors = place[begin], who[begin : begin + size]
+        for low in range(begins[bucket], ends[bucket], PIECE_ROWS):
+            part = rows[low : min(low + PIECE_ROWS, ends[bucket])]
+            for start in range(0, size, PIECE_PAIRS // len(part)):
+                some = visitors[start : start + PIECE_PAIRS // len(part)]
+                ask, find = np.nonzero(vectors[some] @ part.T >= least[some, None])
+                waiting.append((some[ask], find + low))
+                if sum(len(w[0]) for w in waiting) >= PIECE_PAIRS or len(waiting) >= 256:
+                    best = settle()
+    if waiting:
+        best = settle()
+    return pa.table({"asked": pa.array(asked[best[0]]), "name": pa.array(names[best[1]]), "score": pa.array(best[2])})
