@@ -27,9 +27,12 @@ MOST_FEATURES = 1 << 16
 _FEATURE_BITS = 40
 # A feature counts when it is this many times as frequent in bad documents as in good ones, and when its
 # log-likelihood ratio against chance is this high, as there are many features. Bad documents hold ordinary
-# words too, which are not evidence of being good.
+# words too, which are not evidence of being good. The likelihood is low enough for features of some three bad
+# documents, and a feature's weight is its log-ratio times bad / (bad + _SUPPORT), less for rarer ones; both
+# were set on held-out labelled rows.
 _LEAST_RATIO = 8.0
-_LEAST_LIKELIHOOD = 20.0
+_LEAST_LIKELIHOOD = 4.0
+_SUPPORT = 2.0
 # Documents are rejected at this probability of being bad.
 REJECT_AT = 0.9
 _MOST_EVIDENCE = 12.0
@@ -87,7 +90,8 @@ def fit(
     likelihood = bad * F.log((bad + 0.5) / (n + 1) * total / total_bad)
     likelihood += (n - bad) * F.log((n - bad + 0.5) / (n + 1) * total / total_good)
     telling = (likelihood > _LEAST_LIKELIHOOD) & (ratio > _LEAST_RATIO)
-    model = sums.where((F.col("feature") >= 0) & telling).select("feature", n, F.log(ratio).alias("weight"))
+    weight = F.log(ratio) * bad / (bad + _SUPPORT)
+    model = sums.where((F.col("feature") >= 0) & telling).select("feature", n, weight.alias("weight"))
     rows = model.orderBy(F.desc("n"), "feature").limit(MOST_FEATURES).collect()
     rows.sort(key=lambda r: r["feature"])
     prior = float(np.log(total_bad / total_good))

@@ -175,6 +175,22 @@ def test_quality_on_held_out_rows(spark, table):
     assert kept[1000] and kept[1001]
 
 
+def test_quality_learns_rare_words(spark, table):
+    rng = random.Random(9)
+    common, rare = [f"w{i}" for i in range(200)], ["".join(rng.choices("abcdefghijklm", k=9)) for _ in range(50)]
+    docs = []
+    for i in range(600):
+        words = rng.choices(common, k=40)
+        if i % 4 == 0:
+            words[::14] = rng.sample(rare, 3)
+        docs.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, bad int")
+    kept = dict(rows(quality.score_quality(table(docs), labels), "doc_id", "kept"))
+    # each word is in some six of the bad documents fitted on
+    assert sum(kept[i] for i in range(400, 600, 4)) <= 2
+    assert sum(not kept[i] for i in range(400, 600) if i % 4) <= 2
+
+
 def test_neighbours(spark):
     find_package(spark)
     rng = np.random.default_rng(3)
