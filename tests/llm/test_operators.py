@@ -147,6 +147,34 @@ def test_line_dedup(table):
     ]
 
 
+def _edited(rng, alphabet, length):
+    text = rng.choices(alphabet, k=length)
+    other = list(text)
+    other[rng.randrange(length)] = "#"
+    return "".join(text), "".join(other)
+
+
+def test_similar_lines_link(table):
+    rng = random.Random(11)
+    chinese = [chr(0x4E00 + i) for i in range(2000)]
+    pairs = [_edited(rng, chinese, n) for n in (60, 120) * 20]
+    for n in range(20):
+        text = "".join(rng.choices(chinese, k=60))
+        pairs.append((text, f"1.{text}"))
+    # unlike lines that share opening and close
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(300)]
+    for _ in range(40):
+        text = "read more about this: " + " ".join(rng.choices(words, k=8)) + " - all rights reserved"
+        place = rng.randrange(25, 70)
+        pairs.append((text, text[:place] + "#" + text[place + 1 :]))
+    pairs += [("-" * 10, "-" * 30), ("abcdefghij", "abcdefghijk")]
+    docs = [(2 * i + k, line) for i, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    gone = {i for i, n in rows(line_dedup.remove_similar_lines(table(docs)), "doc_id", "n_removed") if n}
+    assert all(i % 2 for i in gone)
+    missed = [i for i in range(len(pairs)) if 2 * i + 1 not in gone]
+    assert len(missed) <= 2
+
+
 def test_mixing_meets_targets(spark, table):
     docs = [(i, f"red {i} apple" if i % 4 else f"blue {i} sea") for i in range(80)] + [(99, None)]
     frame = table(docs)
