@@ -147,6 +147,16 @@ def test_line_dedup(table):
     ]
 
 
+def test_pipeline_drops_copies_with_blank_lines(spark, table):
+    import corpus_pipeline
+
+    text = "one line of the text\n\n\nanother line of it\n \t\nthe last line here"
+    docs = [(1, text), (2, text), (3, text), (4, f"{text}\nand one more line"), (5, None), (6, "\n\n")]
+    left = rows(corpus_pipeline.drop_lines(spark, table(docs), ""), "doc_id", "text")
+    assert [i for i, _ in left] == [1, 4, 5, 6]
+    assert left[1][1].split() == ["and", "one", "more", "line"]
+
+
 def _edited(rng, alphabet, length):
     text = rng.choices(alphabet, k=length)
     other = list(text)
