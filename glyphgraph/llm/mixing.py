@@ -1,7 +1,7 @@
 """Mixing to target weights with soft membership, in DataFrame operations only.
 
-A naive Bayes classifier over a few telling words, fitted on a bounded sample of labelled rows, gives every
-document posteriors over the domains. Projected gradient steps then fit a rate of at least zero to each
+A naive Bayes classifier over telling words and word endings, fitted on a bounded sample of labelled rows, gives
+every document posteriors over the domains; what a document lacks is no evidence. Projected gradient steps then fit a rate of at least zero to each
 document, so that the tokens each domain is expected to get match the targets: a step needs the domains'
 totals, one distributed sum each, and moves every rate by its document's posteriors alone.
 """
@@ -15,56 +15,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.lookup import lookup_join
 from ..operators.storage import materialize
 
 # The classifier is fitted on at most this many labelled rows: those with the smallest hash of their id.
 MOST_LABELLED = 4_000
-WORDS_PER_DOMAIN = 8
+FEATURES_PER_DOMAIN = 1_000
+# Endings of so many characters are features besides words.
+_ENDINGS = (2, 3)
 STEPS, TOLERANCE = 40, 1e-6
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def fit_domains(labelled: DataFrame, *, most_labelled: int = MOST_LABELLED) -> tuple[list, list]:
-    """Domains with their shares, and telling words with their log-odds by domain, from (doc_id, text, domain)."""
+def _features(text: Column) -> Column:
+    """The distinct lower-case words of a text, and their endings, each behind a hyphen and a blank."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
+    ends = [F.transform(words, lambda w, n=n: F.concat(F.lit("- "), F.right(w, F.lit(n)))) for n in _ENDINGS]
+    return F.array_distinct(F.concat(words, *ends))
+
+
+def fit_domains(labelled: DataFrame, *, most_labelled: int = MOST_LABELLED) -> tuple[list, DataFrame | None]:
+    """Domains with their shares, and (feature, w0, w1, ...) with log-likelihoods by domain, from (doc_id, text, domain)."""
     sample = labelled.where("domain is not null and text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     sample = materialize(sample, "labelled")
     domains = [(r["domain"], r["n"]) for r in sample.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").collect()]
+    if not domains:
+        return [], None
     total = sum(n for _, n in domains)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
-    counts = sample.select("domain", F.explode(words).alias("word")).groupBy("word").pivot("domain", [d for d, _ in domains])
-    counts = materialize(counts.agg(F.count(F.lit(1))), "word-counts")
-    shares = {d: (F.coalesce(F.col(f"`{d}`"), F.lit(0)) + 0.5) / (n + 1) for d, n in domains}
+    counts = sample.select("domain", F.explode(_features(F.col("text"))).alias("feature")).groupBy("feature").pivot("domain", [d for d, _ in domains])
+    counts = materialize(counts.agg(F.count(F.lit(1))), "feature-counts")
+    shares = [(F.coalesce(F.col(f"`{d}`"), F.lit(0)) + 0.5) / (n + 1) for d, n in domains]
+    logs = [F.log(s).alias(f"w{i}") for i, s in enumerate(shares)]
     best = []
-    for d, _ in domains:
-        others = [shares[e] for e, _ in domains if e != d]
-        gain = shares[d] - (F.greatest(*others) if len(others) > 1 else others[0] if others else F.lit(0.0))
-        best.append(counts.select("word", *(s.alias(f"s{i}") for i, s in enumerate(shares.values())), gain.alias("gain")).orderBy(F.desc("gain"), "word").limit(WORDS_PER_DOMAIN))
-    telling = {}
-    for rows in best:
-        for r in rows.collect():
-            telling[r["word"]] = [r[f"s{i}"] for i in range(len(domains))]
-    return [(d, n / total) for d, n in domains], sorted(telling.items())
-
-
-def _with_posteriors(frame: DataFrame, domains: list, words: list) -> DataFrame:
-    """`frame` with posteriors for its text. Each step is a column, so that none is computed again."""
-    padded = F.concat(F.lit(" "), F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), F.lit(" "))
-    frame = frame.withColumn("_padded", padded)
-    held = F.array(*(F.col("_padded").contains(f" {word} ") for word, _ in words), F.lit(False))
-    frame = frame.withColumn("_held", held)
-    odds = []
-    for i, (_, share) in enumerate(domains):
-        total = F.lit(math.log(share))
-        for n, (_, shares) in enumerate(words):
-            total = total + F.when(F.col("_held")[n], math.log(shares[i])).otherwise(math.log(1 - shares[i]))
-        odds.append(total)
-    frame = frame.withColumn("_odds", F.array(*odds))
+    for i, own in enumerate(shares):
+        others = shares[:i] + shares[i + 1 :]
+        gain = own - (F.greatest(*others) if len(others) > 1 else others[0] if others else F.lit(0.0))
+        ranked = counts.select("feature", *logs, gain.alias("gain")).where("gain > 0")
+        best.append(ranked.orderBy(F.desc("gain"), "feature").limit(FEATURES_PER_DOMAIN).drop("gain"))
+    # a feature gains in one domain at most
+    telling = best[0]
+    for more in best[1:]:
+        telling = telling.unionByName(more)
+    return [(d, n / total) for d, n in domains], materialize(telling, "telling")
+
+
+def _with_posteriors(frame: DataFrame, domains: list, telling: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, posteriors) from (doc_id, n_tokens, text), one row per row."""
+    # all features of a row are in one task, so they are combined there and a row a document is shuffled
+    numbered = frame.withColumn("_row", F.monotonically_increasing_id())
+    held = numbered.select("_row", "doc_id", "n_tokens", F.explode_outer(_features(F.col("text"))).alias("feature"))
+    sums = [F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in range(len(domains))]
+    summed = lookup_join(held, telling, "feature").groupBy("_row", "doc_id", "n_tokens").agg(*sums)
+    # each step is a column, so that none is computed again
+    frame = summed.withColumn("_odds", F.array(*(F.col(f"w{i}") + math.log(share) for i, (_, share) in enumerate(domains))))
     frame = frame.withColumn("_most", F.array_max("_odds"))
     frame = frame.withColumn("_weights", F.transform("_odds", lambda o: F.exp(o - F.col("_most"))))
     frame = frame.withColumn("_sum", F.aggregate("_weights", F.lit(0.0), lambda a, x: a + x))
-    posteriors = F.transform("_weights", lambda w: w / F.col("_sum"))
-    return frame.withColumn("posteriors", posteriors).drop("_padded", "_held", "_odds", "_most", "_weights", "_sum")
+    return frame.select("doc_id", "n_tokens", F.transform("_weights", lambda w: w / F.col("_sum")).alias("posteriors"))
 
 
 def fit_rates(
@@ -81,13 +89,13 @@ def fit_rates(
     text = F.coalesce("text", F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     n_tokens = F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_tokens")
-    domains, words = fit_domains(labelled, most_labelled=most_labelled)
+    domains, telling = fit_domains(labelled, most_labelled=most_labelled)
     names = [d for d, _ in domains]
     wanted = [max(0.0, targets.get(d, 0.0)) for d in names]
     if not sum(wanted):
         none = F.expr("array()").cast("array<double>").alias("posteriors")
         return base.select("doc_id", n_tokens, none, F.lit(1.0).alias("rate"))
-    scored = _with_posteriors(base.select("doc_id", n_tokens, "text"), domains, words).drop("text")
+    scored = _with_posteriors(base.select("doc_id", n_tokens, "text"), domains, telling)
     current = materialize(scored.withColumn("rate", F.lit(1.0)), "rates")
     wanted = [w / sum(wanted) for w in wanted]
     k = range(len(names))

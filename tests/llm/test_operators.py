@@ -196,6 +196,19 @@ def test_mixing_meets_targets(spark, table):
     assert mixing.fit_rates(frame, labelled.where("false"), {"r": 1.0}).where("rate <> 1").count() == 0
 
 
+def test_mixing_knows_texts_of_rare_words(spark, table):
+    rng = random.Random(4)
+    vocabulary = {d: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(150)] for d in "rb"}
+    docs = [(i, "\t".join(rng.choices(vocabulary["rb"[i % 2]], k=4))) for i in range(900)] + [(1000, None), (1001, "unseen0")]
+    frame = table(docs)
+    labelled = frame.selectExpr("doc_id", "text", "if(doc_id % 2 = 0, 'r', 'b') as domain").where("doc_id < 600")
+    rates = mixing.fit_rates(frame, labelled, {"r": 0.5, "b": 0.5})
+    found = dict(rows(rates, "doc_id", "posteriors"))
+    assert len(found) == len(docs)
+    assert sum(found[i][i % 2 == 0] > 0.9 for i in range(600, 900)) >= 295
+    assert found[1000] == pytest.approx([0.5, 0.5]) and found[1001] == pytest.approx([0.5, 0.5])
+
+
 def test_quality_on_held_out_rows(spark, table):
     rng = random.Random(8)
     common = [f"w{i}" for i in range(200)]
