@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact, line_dedup, mixing, partenum, quality, secret_scan, substring, suffix
+from . import ann, bpe, conversations, embedding_dedup, exact, filter_audit, line_dedup, mixing, partenum, quality, secret_scan, substring, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,3 +133,18 @@ def bad_labels(labels: DataFrame) -> DataFrame:
 @_query
 def op10_quality_classifier(spark, folder):
     return quality.score_quality(_documents(spark, folder), bad_labels(_table(spark, folder, "labels")))
+
+
+@_query
+def op11_conversation_repair(spark, folder):
+    return conversations.repair_conversations(_table(spark, folder, "conversations"))
+
+
+@_query
+def op12_filter_audit(spark, folder):
+    return filter_audit.audit_filters(_documents(spark, folder), _table(spark, folder, "labels"))
+
+
+@_query
+def op13_embedding_dedup(spark, folder):
+    return embedding_dedup.near_duplicates(_table(spark, folder, "embeddings"))

@@ -59,6 +59,80 @@ _SQL: dict[str, str] = {
         )
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(content) as text_sha256 from ranked
     """,
+    "op12_filter_audit": """
+        with texts as (
+            select doc_id, coalesce(lang, '') as part, coalesce(text, '') as body,
+                regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words
+            from documents
+        ),
+        marks as (
+            select doc_id, max(case when quality = 1 then 1 else 0 end) as good,
+                max(case when toxic = 1 then 1 else 0 end) as toxic
+            from labels where doc_id is not null group by doc_id
+        ),
+        tested as (
+            select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+                case when len(words) < 100 then 1 else 0 end
+                + case when 100 * len(list_distinct(words)) < 80 * len(words) then 2 else 0 end
+                + case when 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * length(body) then 4 else 0 end
+                + case when regexp_matches(body, '[#$%&*|]') then 8 else 0 end
+                + case when min(doc_id) over (partition by body) < doc_id then 16 else 0 end as failed
+            from texts left join marks using (doc_id)
+        ),
+        counted as (
+            select part, failed, count(*) as n, sum(good) as good, sum(toxic) as toxic from tested group by part, failed
+        ),
+        filters as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(name, bit)),
+        orders as (
+            select a.name || b.name || c.name || d.name || e.name as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+            from filters a, filters b, filters c, filters d, filters e
+            where a.bit + b.bit + c.bit + d.bit + e.bit = 31
+                and a.bit | b.bit | c.bit | d.bit | e.bit = 31
+        ),
+        steps as (
+            select filter_order, step, bits[step] as bit, cast(coalesce(list_sum(bits[1:step - 1]), 0) as integer) as earlier
+            from orders, (select unnest([1, 2, 3, 4, 5]) as step)
+        ),
+        sums as (
+            select part, filter_order, step, bit,
+                sum(case when failed & (earlier | bit) = 0 then n else 0 end) as kept,
+                sum(case when failed & earlier = 0 and failed & bit <> 0 then n else 0 end) as removed,
+                sum(case when failed & earlier <> 0 and failed & bit <> 0 then n else 0 end) as redundant,
+                sum(case when failed = bit then n else 0 end) as unique_fails,
+                sum(case when failed & earlier = 0 and failed & bit <> 0 then good else 0 end) as good_lost,
+                sum(case when failed & earlier = 0 and failed & bit <> 0 then toxic else 0 end) as toxic_lost
+            from counted, steps group by part, filter_order, step, bit
+        )
+        select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept,
+            cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+            cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+            cast(toxic_lost as bigint) as toxic_lost,
+            cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+        from sums
+    """,
+    "op13_embedding_dedup": """
+        with recursive vectors as (
+            select vec_id, cast(embedding as double[]) as x from embeddings
+            where vec_id is not null and len(embedding) > 0
+                and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0
+                and len(list_filter(embedding, lambda v: v <> 0)) > 0
+        ),
+        pairs as (
+            select a.vec_id as one, b.vec_id as two from vectors a join vectors b
+                on a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+            where list_cosine_similarity(a.x, b.x) >= 0.9
+        ),
+        reached as (
+            select one as origin, two as stop from pairs
+            union
+            select origin, two from reached join pairs on stop = one
+        ),
+        degrees as (select one as vec_id, count(*) as n_links from pairs group by one),
+        roots as (select origin as vec_id, min(stop) as root from reached group by origin)
+        select vec_id, coalesce(n_links, 0) as n_links, least(vec_id, coalesce(root, vec_id)) as component_id,
+            vec_id <= coalesce(root, vec_id) as kept
+        from embeddings left join degrees using (vec_id) left join roots using (vec_id)
+    """,
 }
 
 

@@ -1,0 +1,127 @@
+"""Embedding near-duplicates against all pairs."""
+
+import math
+
+import duckdb
+import numpy as np
+import pytest
+
+from glyphgraph.llm import catalogue, embedding_dedup, oracle, small_world
+
+SCHEMA = "vec_id long, embedding array<{}>, label int, vector string, shard int, links int, component string"
+
+
+def crowds(seed, width=24, alone=300):
+    """Vectors of no likeness, tight and loose crowds around some, and copies."""
+    rng = np.random.default_rng(seed)
+    rows = list(rng.standard_normal((alone, width)))
+    for k, (size, spread) in enumerate([(40, 0.02), (60, 0.06), (30, 0.1), (25, 0.2)]):
+        rows += [rows[k] + spread * np.linalg.norm(rows[k]) * rng.standard_normal(width) / 2 for _ in range(size)]
+    rows += [rows[5] * 3] * 4 + [rows[6].copy() for _ in range(30)]
+    return [x.astype(np.float32).tolist() for x in rows]
+
+
+def awkward(seed, width=24):
+    vectors = crowds(seed, width)
+    zero, nan, inf = [0.0] * width, [float("nan")] * width, [float("inf")] + [1.0] * (width - 1)
+    none = [None] + [1.0] * (width - 1)
+    odd = [[1.0, 2.0], [2.0, 4.0], [1.0], [], None, zero, nan, inf, none, [1e-30, 2e-30], [-0.0] + [1.0] * (width - 1)]
+    rows = [(i * 3 + 1, v) for i, v in enumerate(vectors)]
+    rows += [(5000 + i, v) for i, v in enumerate(odd)]
+    # an id that several rows share, and rows without one
+    return rows + [(7, vectors[9]), (7, vectors[9]), (7, vectors[100]), (None, vectors[9]), (None, None)]
+
+
+def all_pairs(rows, least=0.9):
+    def fine(i, v):
+        return i is not None and v is not None and len(v) and None not in v and np.isfinite(v).all() and any(v)
+
+    good = [k for k, (i, v) in enumerate(rows) if fine(i, v)]
+    links, root = [0] * len(rows), list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    unit = {}
+    for k in good:
+        x = np.array(rows[k][1], dtype=float)
+        x /= np.abs(x).max()
+        unit[k] = x / np.linalg.norm(x)
+    for a in good:
+        for b in good:
+            if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= least:
+                links[a] += 1
+                links[b] += 1
+                root[find(a)] = find(b)
+    smallest = {}
+    for k in good:
+        smallest[find(k)] = min(rows[k][0], smallest.get(find(k), rows[k][0]))
+    out = []
+    for k, (i, _) in enumerate(rows):
+        component = smallest.get(find(k), i) if k in unit else i
+        out.append((i, links[k], component, i == component))
+    return sorted(out, key=repr)
+
+
+def frame(spark, rows, kind="float"):
+    return spark.createDataFrame([(*r, 1, "v", 2, 3, "c") for r in rows], SCHEMA.format(kind)).repartition(3)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_links_and_components(spark, kind):
+    catalogue.find_package(spark)
+    rows = awkward(1)
+    found = embedding_dedup.near_duplicates(frame(spark, rows, kind))
+    if kind == "float":
+        rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    assert sorted(map(tuple, found.collect()), key=repr) == all_pairs(rows)
+
+
+def test_small_and_empty_tables(spark):
+    catalogue.find_package(spark)
+    for rows in ([], [(1, None)], [(4, [1.0, 0.0])], [(4, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])]):
+        found = embedding_dedup.near_duplicates(frame(spark, rows))
+        assert sorted(map(tuple, found.collect()), key=repr) == all_pairs(rows)
+
+
+def test_searches_find_what_an_audit_asks_for():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = small_world.build(x, math.cos(0.2))
+    assert len(graph.points) == 3000
+    nodes, near = graph.search(x, 32)
+    assert (nodes[:, 0] == graph.owner).mean() > 0.99
+    assert (near[:, :-1] >= near[:, 1:]).all()
+
+
+def test_shards_count_links_on_both_sides():
+    rng = np.random.default_rng(3)
+    limit = math.acos(0.9)
+    vectors = np.array(crowds(3))
+    parts = np.array_split(rng.permutation(len(vectors)), 2)
+    shards = []
+    for part in parts:
+        copies = rng.integers(1, 4, len(part))
+        shards.append(embedding_dedup.Shard.build(part.astype(np.int64), part * 0, copies, vectors[part].ravel(), 24, limit))
+    embedding_dedup.count_links(*shards, limit, 0.9)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for mine, other in (shards, shards[::-1]):
+        linked = unit[mine.names] @ unit[other.names].T >= 0.9
+        assert (linked @ other.copies).tolist() == mine.links.tolist()
+
+
+def test_registered_query_and_its_sql(spark, tmp_path):
+    rows = [(i, v) for i, v in enumerate(crowds(4, alone=100))]
+    rows += [(900, None), (901, [0.0] * 24), (902, rows[0][1]), (903, [None] * 24)]
+    frame(spark, rows).write.parquet(str(tmp_path / "embeddings.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    found = catalogue.all_queries()["op13_embedding_dedup"](spark, str(tmp_path))
+    result = connection.execute(oracle.all_sql()["op13_embedding_dedup"])
+    columns = [c[0] for c in result.description]
+    assert sorted(columns) == sorted(found.columns)
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(result.fetchall())
