@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..operators.storage import materialize
 
 # Rows searched at a time.
-STRETCH = 48
+STRETCH = 24
 
 # Costs of the edits, and of a truncated row that stays.
 DELETE, INSERT, REROLE, TRUNCATED_STAYS = 4, 3, 3, 3
@@ -57,7 +57,7 @@ def cheapest_edits(rows: list[Row], state: int, after: list[float] | None) -> tu
     `after` is the cost of what follows by state; None at the end of the conversation, where turns may be added.
     """
     n = len(rows)
-    least = [0] * (n + 1)
+    least = [min(after) if after is not None else 0] * (n + 1)
     for i in range(n - 1, -1, -1):
         fault = rows[i][1]
         least[i] = least[i + 1] + (DELETE if fault in (BLANK, DUPLICATE) else TRUNCATED_STAYS if fault == TRUNCATED else 0)
