@@ -6,13 +6,15 @@ all documents and writes it to the shared folder first, as every later pass read
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sources
-from .operators import Graph, materialize
+from .operators import Graph, materialize, pregel
 from .operators.storage import new_path
 from .plans import comments as texts
 from .plans import corpus as corpora
@@ -76,6 +78,22 @@ def comment_slice(spark, folder):
     return texts.comment_slice(_comments(spark, folder))
 
 
+@_query
+def counted_slice(spark, folder):
+    # the same slice by counting ids, as one that lies deep is found
+    return texts.comment_slice(_comments(spark, folder), deep=0)
+
+
+@_query
+def scan_comments_table(spark, folder):
+    path = f"{folder}/documents.parquet"
+    registry = sources.SourceRegistry(spark)
+    table = "documents_" + hashlib.sha256(path.encode()).hexdigest()[:16]
+    registry.add(table, path, {"doc_id": "comment_id", "source": "content"})
+    # the content is taken from another field than the source was registered with
+    return registry.load(table, columns={"text": "content"})
+
+
 @_query
 def char_positions(spark, folder):
     return texts.char_positions(_comments(spark, folder))
@@ -116,6 +134,24 @@ def bigram_edges_roundtrip(spark, folder):
     return sources.read_bigram_edges(spark, path)
 
 
+@_query
+def bigram_edges_json(spark, folder):
+    """An export with the ids of its store and two broken lines: the pairs, and why lines were rejected."""
+    corpus = _corpus(spark, folder)
+    stored = {"sourceName": "src", "desName": "dst", "weight": "weight"}
+    line = F.struct(
+        F.struct(F.sha2(F.concat("src", "dst"), 256).alias("$oid")).alias("_id"),
+        *[F.col(name).alias(field) for field, name in stored.items()],
+    )
+    broken = spark.range(2).select(
+        F.when(F.col("id") == 0, '{"sourceName":"a","desName":').otherwise('{"sourceName":"a","desName":"b","weight":"many"}').alias("value")
+    )
+    path = new_path(spark, "edges-json")
+    corpus.select(F.to_json(line).alias("value")).unionByName(broken).write.text(path)
+    good, rejected = sources.read_bigram_json(spark, path)
+    return good.unionByName(rejected.select(F.col("reason")), allowMissingColumns=True)
+
+
 @_query
 def corpus_vertices(spark, folder):
     return corpora.corpus_graph(_corpus(spark, folder)).vertices
@@ -166,6 +202,22 @@ def graph_counts(spark, folder):
     return both.agg(F.sum("vertex").alias("n_vertices"), F.sum("edge").alias("n_edges"))
 
 
+@_query
+def graph_from_store(spark, folder):
+    corpus = _corpus(spark, folder)
+    vertices = corpora.vertex_ids(corpus)
+    saved = Graph(vertices, corpora.edges_with_ids(corpus, vertices))
+    name = f"graph_{uuid.uuid4().hex}"
+    sources.save_graph(saved, name, location=new_path(spark, "graph"))
+    read = sources.read_graph(spark, name)
+    graph = Graph.build(read.vertices, read.edges)
+    vertex_count = graph.vertices.agg(F.count("*").alias("n_vertices"))
+    weights = graph.triplets(ends=("src",)).where(F.col("src_name").isNotNull())
+    edge_count = weights.agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight"))
+    # one row on either side
+    return vertex_count.join(edge_count)
+
+
 @_query
 def graph_build(spark, folder):
     # the vertex table lacks the characters that nothing leads to; they come out without a name
@@ -241,16 +293,48 @@ def agg_messages_out(spark, folder):
 @_query
 def agg_messages_names(spark, folder):
     graph = _corpus_graph(spark, folder)
-    return graph.aggregate_messages(
-        F.array_join(F.sort_array(F.collect_list("msg")), "::").alias("neighbours"),
-        to_src=F.col("dst_name"),
-        ends=("dst",),
+    return graph.concat_messages("::", to_src=F.col("dst_name"), ends=("dst",), name="neighbours")
+
+
+@_query
+def pregel_components(spark, folder):
+    """The smallest character that each is connected with by edges to heaviest successors, whatever their direction."""
+    graph = _corpus_graph(spark, folder)
+    heaviest = F.max_by("dst", F.struct("weight", -F.col("dst"))).alias("dst")
+    followed = Graph(graph.vertices.select("id", F.col("id").alias("low")), graph.edges.groupBy("src").agg(heaviest))
+    low, src, dst = F.col("low"), F.col("src_low"), F.col("dst_low")
+    found = pregel(
+        followed,
+        F.lit(None).cast("long"),
+        lambda message: {"low": F.least(low, message)},
+        merge=F.min,
+        to_dst=F.when(src < dst, src),
+        to_src=F.when(dst < src, dst),
+        direction="either",
     )
+    return found.vertices.select("id", F.col("low").alias("component"))
 
 
 # comment graph
 
 
+@_query
+def comment_vertices(spark, folder):
+    return texts.numbered_vertices(_comments(spark, folder))
+
+
+@_query
+def comment_sources(spark, folder):
+    graph = texts.comment_graph(_comments(spark, folder), _corpus(spark, folder))
+    return graph.sources().select("id.comment_id", "id.pos", "name")
+
+
+@_query
+def comment_sinks(spark, folder):
+    graph = texts.comment_graph(_comments(spark, folder), _corpus(spark, folder))
+    return graph.sinks().select("id.comment_id", "id.pos", "name")
+
+
 @_query
 def weighted_comment_edges(spark, folder):
     return texts.weighted_edges(_comments(spark, folder), _corpus(spark, folder))
@@ -286,6 +370,48 @@ def segment_slice(spark, folder):
     return segmentation.segment_texts(part, _corpus(spark, folder))
 
 
+def _labelled_paths(spark: SparkSession, folder: str) -> DataFrame:
+    labelled = segmentation.label_characters(_comments(spark, folder), _corpus(spark, folder))
+    return labelled.select(F.col("comment_id").alias("path"), "pos", F.col("ch").alias("name"), "label")
+
+
+@_query
+def segment_labelled(spark, folder):
+    glued = segmentation.glue_labels(_labelled_paths(spark, folder))
+    return glued.withColumnRenamed("path", "comment_id")
+
+
+@_query
+def segment_relabelled(spark, folder):
+    """The same with single words, middles and restarts among the labels: S for full stops, M, and U at line ends."""
+    label = (
+        F.when(F.col("name") == ".", "S")
+        .when(F.col("name") == "\n", "U")
+        .when((F.col("label") == "I") & (F.col("pos") % 2 == 1), "M")
+        .otherwise(F.col("label"))
+    )
+    glued = segmentation.glue_labels(_labelled_paths(spark, folder).withColumn("label", label))
+    return glued.withColumnRenamed("path", "comment_id")
+
+
+@_query
+def segment_slice_paths(spark, folder):
+    """The texts of the slice as a graph without positions, which pointer doubling finds, and then glued."""
+    part, corpus = texts.comment_slice(_comments(spark, folder)), _corpus(spark, folder)
+    labelled = segmentation.label_characters(part, corpus)
+    node = F.struct("comment_id", "pos")
+    vertices = materialize(labelled.select(node.alias("id"), F.col("ch").alias("name"), "label"), "path-vertices")
+    paths = Graph(vertices, texts.comment_graph(part, corpus).edges.select("src", "dst"))
+    return segmentation.glue_paths(paths).select("path.comment_id", "segmented")
+
+
+@_query
+def cut_result_file(spark, folder):
+    path = new_path(spark, "cutting-result")
+    results.save_result_file(materialize(segment_text(spark, folder), "segmented"), path)
+    return results.file_lines(results.read_result_file(spark, path))
+
+
 @_query
 def cut_result_lines(spark, folder):
     return results.result_lines(segment_text(spark, folder))

@@ -2,7 +2,9 @@ from .chars import (
     EXCLUDED_CHARACTERS,
     char_code,
     is_kept,
+    let,
     pair_key,
+    pair_keys,
     vertex_number,
 )
 from .labels import END_RATIO_FRACTIONAL, END_RATIO_INTEGER, display_label, glue_piece, label_of
@@ -16,6 +18,8 @@ __all__ = [
     "glue_piece",
     "is_kept",
     "label_of",
+    "let",
     "pair_key",
+    "pair_keys",
     "vertex_number",
 ]

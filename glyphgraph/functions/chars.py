@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,22 @@ def pair_key(first: Column, second: Column) -> Column:
     return F.ascii(first).cast("long") * F.lit(CODE_POINT_RANGE) + F.ascii(second)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, wherever body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def pair_keys(before: Column, chars: Column, after: Column) -> Column:
+    """The pair key of every two neighbours in (before, *chars, after); NULL where a side is."""
+
+    def keys(codes: Column) -> Column:
+        left = F.concat(F.array(F.ascii(before).cast("long")), codes)
+        right = F.concat(codes, F.array(F.ascii(after).cast("long")))
+        return F.zip_with(left, right, lambda a, b: a * F.lit(CODE_POINT_RANGE) + b)
+
+    return let(F.transform(chars, lambda ch: F.ascii(ch).cast("long")), keys)
+
+
 def char_code(name: Column) -> Column:
     """Little-endian integer of the UTF-8 bytes; 0 for the empty string, an error above 8 bytes."""
     digits = F.hex(F.encode(name, "UTF-8"))

@@ -30,11 +30,13 @@ def spread(comments: DataFrame) -> DataFrame:
     return comments.repartition(2 * cores, "comment_id")
 
 
-def text_units(comments: DataFrame, unit_characters: int = UNIT_CHARACTERS) -> DataFrame:
+def text_units(
+    comments: DataFrame, unit_characters: int = UNIT_CHARACTERS, *, keep_null: bool = False
+) -> DataFrame:
     """Cut every text into stretches: (comment_id, unit, before, body, after).
 
     `before` and `after` are the characters next to the stretch, NULL at either end of the text. A NULL
-    text gives no row; an empty text gives one with an empty body.
+    text gives no row, or with `keep_null` one without body; an empty text gives one with an empty body.
     """
     content = F.col("content")
     # split once; a regular expression for stretches would recurse where characters change in width
@@ -48,7 +50,7 @@ def text_units(comments: DataFrame, unit_characters: int = UNIT_CHARACTERS) -> D
     )
     unit = F.col("unit")
     return (
-        comments.where(content.isNotNull())
+        (comments if keep_null else comments.where(content.isNotNull()))
         .select("comment_id", "content", long.alias("chars"))
         .select("comment_id", stretches.alias("units"))
         # the outer form keeps Spark from evaluating the cutting a second time in a derived filter

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lookup import BROADCAST_BYTES, fits_broadcast, lookup_join
+from .merging import concat_sorted
 
 
 @dataclass(frozen=True)
@@ -159,11 +160,26 @@ class Graph:
             self.triplets(ends=ends, broadcast_bytes=broadcast_bytes), to_dst, to_src, *aggregates
         )
 
+    def concat_messages(
+        self,
+        separator: str,
+        *,
+        to_dst: Column | None = None,
+        to_src: Column | None = None,
+        ends: tuple[str, ...] = (),
+        name: str = "msg",
+        broadcast_bytes: int = BROADCAST_BYTES,
+    ) -> DataFrame:
+        """Send strings along every edge and join those that meet, in order: (id, name).
 
-def combine_messages(
-    triplets: DataFrame, to_dst: Column | None, to_src: Column | None, *aggregates: Column
-) -> DataFrame:
-    """Messages of `triplets` grouped by the vertex they go to."""
+        For vertices that get any number of messages: none of them is gathered in one task.
+        """
+        sent = messages(self.triplets(ends=ends, broadcast_bytes=broadcast_bytes), to_dst, to_src)
+        return concat_sorted(sent, "id", "msg", separator).withColumnRenamed("msg", name)
+
+
+def messages(triplets: DataFrame, to_dst: Column | None, to_src: Column | None) -> DataFrame:
+    """The messages that `triplets` send: (id, msg), `id` being the vertex that a message goes to."""
     sent = []
     if to_dst is not None:
         sent.append(F.struct(F.col("dst").alias("id"), to_dst.alias("msg")))
@@ -173,4 +189,11 @@ def combine_messages(
         rows = triplets.select(sent[0].alias("m")).select("m.id", "m.msg")
     else:
         rows = triplets.select(F.explode(F.array(*sent)).alias("m")).select("m.id", "m.msg")
-    return rows.where(F.col("msg").isNotNull()).groupBy("id").agg(*aggregates)
+    return rows.where(F.col("msg").isNotNull())
+
+
+def combine_messages(
+    triplets: DataFrame, to_dst: Column | None, to_src: Column | None, *aggregates: Column
+) -> DataFrame:
+    """Messages of `triplets` grouped by the vertex they go to."""
+    return messages(triplets, to_dst, to_src).groupBy("id").agg(*aggregates)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,13 +40,18 @@ def estimated_bytes(frame: DataFrame) -> int:
     return frame.agg(size_of_rows(frame)).first()[0]
 
 
-def materialize_sized(frame: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Write a table and learn its size in the same pass."""
+def observed_size(frame: DataFrame, write: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """Write a table by `write` and learn its size in the same pass."""
     seen = Observation()
-    written = materialize(frame.observe(seen, size_of_rows(frame).alias("bytes")), name)
+    written = write(frame.observe(seen, size_of_rows(frame).alias("bytes")))
     return written, seen.get["bytes"]
 
 
+def materialize_sized(frame: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The same for a table in the shared folder that stays there."""
+    return observed_size(frame, lambda sized: materialize(sized, name))
+
+
 def fits_broadcast(frame: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether a table may be broadcast. Costs one pass over it, so give it a written table."""
     return estimated_bytes(frame) <= broadcast_bytes

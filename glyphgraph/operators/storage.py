@@ -1,9 +1,11 @@
-"""Intermediate tables that outlive the executors that computed them."""
+"""Intermediate tables that outlive the executors that computed them, and their owners."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +32,89 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a written table, wherever Spark keeps it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def session_setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A SQL setting for the jobs that run within the block; what the session had comes back."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _write(frame: DataFrame, path: str) -> DataFrame:
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def materialize(frame: DataFrame, name: str) -> DataFrame:
     """Write `frame` once to the shared folder and go on from the written table.
 
     This cuts the lineage: a lost executor never makes Spark repeat the work before it. Use it for a
-    result that is much smaller than its input and is read more than once.
+    result that is much smaller than its input and is read more than once. The table stays; work that writes
+    tables it can do without later gives them to `Tables`.
     """
-    spark = frame.sparkSession
-    path = new_path(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return _write(frame, new_path(frame.sparkSession, name))
+
+
+class Tables:
+    """The written tables of one piece of work, by name.
+
+    Writing a name again deletes the table that had it, once the new one is there: an iteration that writes each
+    round's table from the last one's holds no more than two. At the end of the `with` block every table goes that was
+    not kept for what the work returns. Nothing may still be waiting to read a table when its name is written again or
+    dropped; a frame that was not run yet is such a reader.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._held: dict[str, tuple[str, str | None]] = {}
+        self._kept: set[str] = set()
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[name for name in self._held if name not in self._kept])
+
+    @property
+    def names(self) -> list[str]:
+        return sorted(self._held)
+
+    def write(self, frame: DataFrame, name: str) -> DataFrame:
+        path = new_path(self._spark, name)
+        written = _write(frame, path)
+        self.drop(name)
+        self._held[name] = path, None
+        return written
+
+    def write_bucketed(self, frame: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+        """A catalog table in `buckets` buckets of `column`: joins and groupings by it need no shuffle of it.
+
+        The rows are dealt out first, so there is one file per bucket.
+        """
+        path, table = new_path(self._spark, name), f"glyphgraph_{uuid.uuid4().hex}"
+        dealt = frame.repartition(buckets, column)
+        dealt.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(table)
+        self.drop(name)
+        self._held[name] = path, table
+        return self._spark.table(table)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self._held:
+                path, table = self._held.pop(name)
+                if table is not None:
+                    self._spark.sql(f"DROP TABLE IF EXISTS {table}")
+                delete_path(self._spark, path)
+
+    def keep(self, *names: str) -> None:
+        """These tables outlive the `with` block, as a returned frame reads them."""
+        self._kept.update(names)

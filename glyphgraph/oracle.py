@@ -71,6 +71,21 @@ _TABLES = {
         "select comment_id, string_agg(case label when 'E' then ch || ' ' when 'B' then ' ' || ch"
         " else ch end, '' order by pos) as segmented from labelled group by comment_id",
     ),
+    "starts": (
+        ["docs"],
+        "select comment_id, cast(sum(greatest(length(content), 1)) over (order by comment_id)"
+        " - greatest(length(content), 1) as bigint) as first from docs",
+    ),
+    "followed": (
+        ["ce"],
+        "select src, dst from (select src, dst, row_number() over (partition by src order by weight desc, dst) as n"
+        " from ce) h where n = 1",
+    ),
+    "reached": (
+        ["cv", "followed"],
+        "select id as origin, id as stop from cv union select origin, b from reached"
+        " join (select src as a, dst as b from followed union select dst, src from followed) n on stop = a",
+    ),
     "slice": (
         ["docs"],
         "select comment_id, content from docs where comment_id > 1 order by comment_id"
@@ -81,6 +96,8 @@ _TABLES = {
 _FINAL = {
     "scan_comments": ([], "select doc_id as comment_id, text as content from documents"),
     "comment_slice": (["slice"], "select * from slice"),
+    "counted_slice": (["slice"], "select * from slice"),
+    "scan_comments_table": ([], "select doc_id as comment_id, text as content from documents"),
     "char_positions": (["chars"], "select * from chars"),
     "pair_filter": (["kept"], "select * from kept"),
     "char_codes": (
@@ -94,6 +111,12 @@ _FINAL = {
     "bigram_edges": (["bigrams"], "select * from bigrams order by weight desc, src, dst"),
     "bigram_top_k": (["bigrams"], "select * from bigrams order by weight desc, src, dst limit 300"),
     "bigram_edges_roundtrip": (["bigrams"], "select * from bigrams"),
+    "bigram_edges_json": (
+        ["bigrams"],
+        "select src, dst, weight, cast(null as varchar) as reason from bigrams"
+        " union all select null, null, null, 'no JSON object'"
+        " union all select null, null, null, 'weight is no bigint'",
+    ),
     "corpus_vertices": (["cv"], "select * from cv"),
     "corpus_edges": (["ce"], "select * from ce"),
     "vertex_ids": (["ranked"], "select * from ranked"),
@@ -104,6 +127,11 @@ _FINAL = {
         ["names", "bigrams"],
         "select (select count(*) from names) as n_vertices, (select count(*) from bigrams) as n_edges",
     ),
+    "graph_from_store": (
+        ["names", "bigrams"],
+        "select (select count(*) from names) as n_vertices, (select count(*) from bigrams) as n_edges,"
+        " (select cast(sum(weight) as bigint) from bigrams) as weight",
+    ),
     "graph_build": (
         ["cv", "ce"],
         "select e.id, v.name from (select src as id from ce union select dst from ce) e"
@@ -142,6 +170,24 @@ _FINAL = {
         "select e.src as id, string_agg(d.name, '::' order by d.name) as neighbours"
         " from ce e join cv d on e.dst = d.id group by e.src",
     ),
+    "pregel_components": (
+        ["cv", "ce", "followed", "reached"],
+        "select origin as id, min(stop) as component from reached group by origin",
+    ),
+    "comment_vertices": (
+        ["chars", "starts"],
+        "select first + pos as id, comment_id, pos, ch as name from chars join starts using (comment_id)",
+    ),
+    "comment_sources": (
+        ["chars", "pairs"],
+        "select comment_id, pos, ch as name from chars c where not exists (select 1 from pairs p"
+        " where p.comment_id = c.comment_id and p.pos + 1 = c.pos)",
+    ),
+    "comment_sinks": (
+        ["chars", "pairs"],
+        "select comment_id, pos, ch as name from chars c where not exists (select 1 from pairs p"
+        " where p.comment_id = c.comment_id and p.pos = c.pos)",
+    ),
     "weighted_comment_edges": (["weighted"], "select * from weighted"),
     "path_starts": (
         ["chars", "pairs"],
@@ -160,6 +206,25 @@ _FINAL = {
         ["segmented", "slice"],
         "select comment_id, segmented from segmented where comment_id in (select comment_id from slice)",
     ),
+    "segment_labelled": (["segmented"], "select * from segmented"),
+    "segment_relabelled": (
+        ["labelled"],
+        "select comment_id, string_agg(case when pos = start then ch when kind in ('E', 'S') then ch || ' '"
+        " when kind = 'B' then ' ' || ch else ch end, '' order by pos) as segmented from ("
+        "select *, max(case when pos = 0 or kind = 'U' then pos end) over (partition by comment_id) as start from ("
+        "select comment_id, pos, ch, case when ch = '.' then 'S' when ch = chr(10) then 'U'"
+        " when label = 'I' and pos % 2 = 1 then 'M' else label end as kind from labelled) k) s"
+        " where pos >= start group by comment_id",
+    ),
+    "segment_slice_paths": (
+        ["segmented", "slice"],
+        "select comment_id, segmented from segmented where comment_id in (select comment_id from slice)",
+    ),
+    "cut_result_file": (
+        ["segmented"],
+        "select cast(0 as bigint) as line_no, '【原始】' || replace(segmented, ' ', '') as value from segmented"
+        " union all select 1, '【分词】' || segmented from segmented union all select 2, '' from segmented",
+    ),
     "cut_result_lines": (
         ["segmented"],
         "select comment_id, cast(0 as bigint) as line_no, '【原始】' || replace(segmented, ' ', '') as value"
@@ -198,4 +263,4 @@ def _with_tables(needed: list[str], final: str) -> str:
         add(table)
     if not used:
         return final
-    return "with " + ",\n".join(f"{t} as ({_TABLES[t][1]})" for t in used) + "\n" + final
+    return "with recursive " + ",\n".join(f"{t} as ({_TABLES[t][1]})" for t in used) + "\n" + final

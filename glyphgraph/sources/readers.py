@@ -80,3 +80,32 @@ def read_id_edges(
     return read_table(
         spark, source, schemas.STORED_ID_EDGES, schemas.ID_EDGES, format=format, **options
     )
+
+
+def read_json_lines(
+    spark: SparkSession, source: str, columns: Mapping[str, str], schema: T.StructType
+) -> tuple[DataFrame, DataFrame]:
+    """Text with one JSON object per line, as (good rows, rejected lines).
+
+    The fields `columns` (stored name -> name) are cast to `schema`; other fields, such as an export's `_id`, are
+    passed over. A line that is no object, lacks a field or holds a value that cannot be cast does not stop the read: it
+    comes back as (line, reason). Blank lines are neither.
+    """
+    kinds = {field.name: field.dataType for field in schema}
+    record = T.StructType([T.StructField(field, T.StringType()) for field in columns])
+    record = record.add("_broken", T.StringType())
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    lines = spark.read.text(source).where(F.trim("value") != "")
+    parsed = lines.select(F.col("value").alias("line"), F.from_json("value", record, options).alias("record"))
+    values = {name: F.col("record")[field].try_cast(kinds[name]) for field, name in columns.items()}
+    reason = F.when(F.col("record").isNull() | F.col("record._broken").isNotNull(), "no JSON object")
+    for field, name in columns.items():
+        reason = reason.when(F.col("record")[field].isNull(), f"{field} is missing")
+        reason = reason.when(values[name].isNull(), f"{field} is no {kinds[name].simpleString()}")
+    judged = parsed.select("line", *[v.alias(n) for n, v in values.items()], reason.alias("reason"))
+    return judged.where(F.col("reason").isNull()).select(*values), judged.where(F.col("reason").isNotNull()).select("line", "reason")
+
+
+def read_bigram_json(spark: SparkSession, source: str) -> tuple[DataFrame, DataFrame]:
+    """Exported corpus edges, one JSON object per line: (src, dst, weight) and the rejected lines."""
+    return read_json_lines(spark, source, schemas.STORED_BIGRAM_EDGES, schemas.BIGRAM_EDGES)

@@ -1,13 +1,20 @@
 """The physical plans that the design rests on."""
 
+import importlib
 import re
 
 import pytest
 
-from glyphgraph.operators import characters
+from pyspark.sql import functions as F
+
+from glyphgraph.operators import Tables, characters
+from glyphgraph.operators.graph import combine_messages
 from glyphgraph.plans import corpus as corpora
 from glyphgraph.plans import segmentation
-from glyphgraph.plans.comments import weighted_edges
+from glyphgraph.plans.comments import comment_slice, weighted_edges
+
+# the package gives the name to the function
+pregel_module = importlib.import_module("glyphgraph.operators.pregel")
 
 
 @pytest.fixture
@@ -66,34 +73,105 @@ def test_text_is_cut_once(stored):
     assert plan.count("regexp_extract_all(") == 0
 
 
-def test_segmenting_shuffles_texts_once_and_no_characters(stored, sample_corpus):
+def text_scans(plan):
+    return plan.count("content:string")
+
+
+def test_segmenting_reads_texts_once_and_moves_no_characters(stored, sample_corpus):
     frame = segmentation.segment_texts(stored, sample_corpus)
     plan = plan_of(frame)
-    # both sides of the join start from the same exchange of (comment_id, text), or of stretches of long
-    # texts; beside these there are the finished stretches and the check of ids, which reads no text
-    assert exchanges(plan) == ["hashpartitioning"] * 6
-    children = [part.splitlines()[1] for part in plan.split("Exchange hashpartitioning")[1:]]
-    whole = [c for c in children if re.search(r"Project \[comment_id#\d+L?, content#\d+ AS body#\d+\]", c)]
-    assert len(whole) == 2
-    assert "ReadSchema: struct<comment_id:bigint>" in plan
+    # both sides of the join start from the same exchange of stretches; segmented ones then meet by comment
+    assert exchanges(plan) == ["hashpartitioning"] * 3
+    assert len(re.findall(r"Exchange hashpartitioning\(key#\d+, \d+\), REPARTITION_BY_NUM", plan)) == 2
+    for path in above(plan, "FileScan"):
+        if any("posexplode(chars" in operator for operator in path):
+            moved = [i for i, operator in enumerate(path) if operator.startswith("Exchange")]
+            expanded = next(i for i, operator in enumerate(path) if "posexplode(chars" in operator)
+            # of what is above the characters only the texts move, glued from the marks of a stretch
+            assert [i < expanded for i in moved] == [True, False]
+            assert "SortMergeJoin [key" in " ".join(path[moved[0] : expanded])
     # the corpus weights are broadcast, the marks are not
-    assert plan.count("BroadcastHashJoin") == 4
-    assert plan.count("SortMergeJoin") == 2
+    assert plan.count("BroadcastHashJoin") == 2
+    assert plan.count("SortMergeJoin") == 1
 
     frame.collect()
     final = plan_of(frame).split("Initial Plan")[0]
-    assert len(re.findall(r"ReusedExchange .*Exchange hashpartitioning", final)) >= 1
+    assert text_scans(final) == 1
+    assert len(re.findall(r"ReusedExchange .*Exchange hashpartitioning", final)) == 1
+
+
+def test_a_big_corpus_meets_the_different_pairs_of_a_stretch(spark, stored, sample_corpus):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for make in (segmentation.label_characters, segmentation.segment_texts):
+            frame = make(stored, sample_corpus, broadcast_bytes=0)
+            plan = plan_of(frame)
+            # one lookup of what is different, and one join that brings the dictionary to its stretch
+            assert plan.count("SortMergeJoin") == 2
+            assert plan.count("BroadcastHashJoin") == 0
+            looked_up = [p for p in above(plan, "FileScan") if any("SortMergeJoin [pair" in o for o in p)]
+            assert any("posexplode(array_distinct" in o for p in looked_up for o in p)
+            assert not any("posexplode(chars" in o for p in looked_up for o in p)
+            frame.collect()
+            assert text_scans(plan_of(frame).split("Initial Plan")[0]) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
 
+def above(plan, marker):
+    """The operators on the way from the leaves that hold `marker` up to the root, one list per leaf."""
+    paths, stack = [], []
+    for line in plan.splitlines():
+        depth = len(re.match(r"[\s:|+\-]*", line).group())
+        stack = [entry for entry in stack if entry[0] < depth]
+        stack.append((depth, line.strip(" :|+-")))
+        if marker in line:
+            paths.append([operator for _, operator in stack])
+    return paths
 
-def test_a_big_corpus_is_joined_with_one_pass_over_the_texts(spark, stored, sample_corpus):
+
+@pytest.mark.parametrize("direction", ["all", "out", "in", "either", "both"])
+def test_a_round_of_a_vertex_program_moves_no_edges(spark, direction):
+    """Beyond the broadcast bound vertices go to the edges, which stay in their buckets."""
+    vertices = spark.range(100).selectExpr("id", "id as low")
+    edges = spark.range(500).selectExpr("id % 100 as src", "(id * 7 + 3) % 100 as dst")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = plan_of(segmentation.label_characters(stored, sample_corpus, broadcast_bytes=0))
+        with Tables(spark) as tables, pregel_module.meeting_in_place(spark):
+            state = pregel_module._State(tables, vertices, 0)
+            placed = pregel_module._Edges(tables, edges, placed=True)
+            state.lie_with(placed)
+            state.active_bytes = 1 << 40
+            frame = pregel_module.sending_triplets(state, placed, direction, ("src", "dst"))
+            messages = combine_messages(frame, F.col("src_low"), None, F.min("msg"))
+            for rows, moves in ((frame, 0), (messages, 1)):
+                scans = [p for p in above(plan_of(rows), "FileScan") if "dst#" in p[-1]]
+                assert len(scans) == 1 and "Bucketed: true" in scans[0][-1]
+                moved = [i for i, operator in enumerate(scans[0]) if operator.startswith("Exchange")]
+                # what moves are messages, after they were combined
+                assert len(moved) == moves
+                assert all("partial_min" in scans[0][i + 1] for i in moved)
+            assert frame.count() == 500
+            assert frame.where("src_low = src and dst_low = dst").count() == 500
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("SortMergeJoin") == 2
-    assert plan.count("BroadcastHashJoin") == 0
-    assert plan.count("content:string") == 1
+
+
+def test_a_deep_slice_orders_ids_only_and_keeps_none_of_what_it_skips(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(0, 30_000_000, 1, 16).selectExpr("id * 3 % 30000000 as comment_id", "'x' as content").where(
+        "comment_id % 2 = 0"
+    ).write.parquet(path)
+    frame = comment_slice(spark.read.parquet(path), skip=10_000_000, limit=5)
+    plan = plan_of(frame)
+    # the slice's rows are sorted, not the table: the bounds of the slice are in the scan's filter
+    assert "TakeOrderedAndProject" not in plan and "GlobalLimit" not in plan
+    # every multiple of six is there three times: the slice begins and ends within ties
+    scan = frame._jdf.queryExecution().optimizedPlan().toString()
+    low, high = (int(re.search(rf"comment_id#\d+L {sign} (\d+)", scan).group(1)) for sign in (">=", "<="))
+    assert (low, high) == (20_000_004, 20_000_010)
+    found = [r["comment_id"] for r in frame.collect()]
+    assert found == [20_000_004] * 2 + [20_000_010] * 3
 
 
 @pytest.mark.parametrize("limit", [0, 1 << 28])

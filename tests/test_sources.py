@@ -1,9 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from glyphgraph import sources
-from glyphgraph.operators import materialize, shared_dir
+from glyphgraph.operators import Graph, materialize, shared_dir
+from glyphgraph.sources import schemas
 from glyphgraph.plans import comments as texts
 from glyphgraph.plans import results, segmentation
 
@@ -108,3 +110,107 @@ def test_exports(comments, sample_corpus):
     assert rows(results.export_nodes(labelled, with_label=False, with_weight=False))[0] == ("1:0", "不")
     edges = results.export_edges(texts.weighted_edges(frame, sample_corpus))
     assert rows(edges) == [("1:0->1:1", "1:0", "1:1", "362779", 0.1)]
+
+
+def test_broken_json_lines_are_told_apart(spark, tmp_path):
+    lines = [
+        '{"_id":{"$oid":"0"},"sourceName":"不","desName":"错","weight":362779}',
+        '{"sourceName":"a","desName":"b","weight":"12"}',
+        "",
+        '{"sourceName":"a","desName":',
+        "no json",
+        '{"sourceName":"a","weight":3}',
+        '{"sourceName":"a","desName":"b","weight":"many"}',
+        "[1, 2]",
+        '{"sourceName":null,"desName":"b","weight":1}',
+    ]
+    path = tmp_path / "edges.json"
+    path.write_text("\n".join(lines) + "\n", encoding="utf-8")
+    good, rejected = sources.read_bigram_json(spark, str(path))
+    assert good.dtypes == [("src", "string"), ("dst", "string"), ("weight", "bigint")]
+    assert rows(good) == [("a", "b", 12), ("不", "错", 362779)]
+    found = {r["line"]: r["reason"] for r in rejected.collect()}
+    assert found[lines[3]] == found[lines[4]] == "no JSON object"
+    assert found[lines[5]] == "desName is missing" and found[lines[8]] == "sourceName is missing"
+    assert found[lines[6]] == "weight is no bigint"
+    assert set(found) == set(lines[3:])
+
+
+def saved_graph(spark):
+    vertices = spark.createDataFrame([(0, "a"), (1, "'"), (2, None)], "id long, name string")
+    return Graph(vertices, spark.createDataFrame([(0, 1, 5), (0, 1, 5), (2, 0, 7)], "src long, dst long, weight long"))
+
+
+def test_a_saved_graph_comes_back(spark, tmp_path):
+    graph = saved_graph(spark)
+    for name, location in (("kept_graph", None), ("outer_graph", str(tmp_path / "g"))):
+        for _ in range(2):
+            sources.save_graph(graph, name, location=location)
+        read = sources.read_graph(spark, name)
+        assert rows(read.vertices) == rows(graph.vertices) and rows(read.edges) == rows(graph.edges)
+        assert spark.table(f"{name}_vertices").columns == list(schemas.STORED_VERTICES)
+
+
+def test_a_graph_that_changed_since_it_was_saved_is_refused(spark, tmp_path):
+    graph = saved_graph(spark)
+    sources.save_graph(graph, "g1", location=str(tmp_path / "g1"))
+    other = spark.createDataFrame([(0, 1, 5), (0, 1, 6), (2, 0, 7)], "sourceId long, desId long, weight long")
+    other.write.mode("overwrite").option("path", str(tmp_path / "g1/g1_edges")).saveAsTable("g1_edges")
+    with pytest.raises(ValueError, match="does not hold the rows"):
+        sources.read_graph(spark, "g1")
+    assert sources.read_graph(spark, "g1", verify=False).edges.count() == 3
+    other.withColumn("weight", F.col("weight").cast("int")).write.mode("overwrite").option(
+        "path", str(tmp_path / "g1/g1_edges")
+    ).saveAsTable("g1_edges")
+    with pytest.raises(ValueError, match="fields"):
+        sources.read_graph(spark, "g1", verify=False)
+    spark.sql("DROP TABLE g1_manifest")
+    with pytest.raises(ValueError, match="manifest"):
+        sources.read_graph(spark, "g1")
+
+
+def test_registered_sources_and_overrides(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([("1", "t", "s")], "doc_id string, text string, source string").write.parquet(path)
+    registry = sources.SourceRegistry(spark)
+    registry.add("docs_here", path, {"doc_id": "comment_id", "text": "content"})
+    assert registry.columns("docs_here") == {"doc_id": "comment_id", "text": "content"}
+    assert rows(registry.load("docs_here")) == [(1, "t")]
+    assert rows(registry.load("docs_here", columns={"source": "content"})) == [(1, "s")]
+    # registering again replaces
+    registry.add("docs_here", path, {"doc_id": "comment_id"})
+    with pytest.raises(ValueError, match="content"):
+        registry.load("docs_here")
+    spark.sql("CREATE DATABASE IF NOT EXISTS elsewhere")
+    other = sources.SourceRegistry(spark, "elsewhere")
+    other.add("docs_here", path, {"doc_id": "comment_id", "source": "content"})
+    assert rows(registry.load("docs_here", database="elsewhere")) == [(1, "s")]
+    assert rows(other.load("docs_here")) == [(1, "s")]
+    spark.sql("DROP DATABASE elsewhere CASCADE")
+
+
+def test_a_result_file_comes_back(spark, tmp_path):
+    texts = ["a b", "", " ", "x\n\ny", "\n", "【原始】k", "k\n【分词】 l", "m\n\n【原始】n"[:3], "end\n\n", "é 😀"]
+    frame = spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts * 3)], "comment_id long, segmented string")
+    target = str(tmp_path / "result")
+    results.save_result_file(frame.repartition(5), target, part_blocks=4)
+    read = results.read_result_file(spark, target)
+    assert sorted(r["segmented"] for r in read.collect()) == sorted(texts * 3)
+    assert all(r["original"] == r["segmented"].replace(" ", "") for r in read.collect())
+    index = spark.read.parquet(f"{target}/index").orderBy("comment_id").collect()
+    assert [tuple(r) for r in index] == [(i * 3, i // 4, i % 4) for i in range(30)]
+    # parts one after the other are the whole file, in the order of the ids
+    parts = sorted((tmp_path / "result/blocks").glob("part=*"), key=lambda p: int(p.name.split("=")[1]))
+    whole = "".join(f.read_text(encoding="utf-8") for p in parts for f in sorted(p.glob("*.txt")))
+    expected = [f"{results.ORIGINAL_MARK}{t.replace(' ', '')}\n{results.SEGMENTED_MARK}{t}\n\n" for t in texts * 3]
+    assert len(parts) == 8 and whole == "".join(expected)
+    assert results.file_lines(read).count() == 90
+
+
+def test_a_result_file_that_lost_a_part_is_refused(spark, tmp_path):
+    target = str(tmp_path / "result")
+    frame = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "comment_id long, segmented string")
+    results.save_result_file(frame, target, part_blocks=2)
+    spark.createDataFrame([(9, 9, 0)], "comment_id long, part long, place long").write.mode("append").parquet(f"{target}/index")
+    with pytest.raises(ValueError, match="index"):
+        results.read_result_file(spark, target)
