@@ -1,4 +1,5 @@
 from .characters import adjacent_pairs, all_characters, text_units, unit_characters
+from .constants import ConstantTable
 from .graph import Graph
 from .ids import dense_ids, positions, running_totals
 from .lookup import BROADCAST_BYTES, fits_broadcast, lookup_join, materialize_sized
@@ -10,6 +11,7 @@ from .storage import Tables, materialize, shared_dir
 
 __all__ = [
     "BROADCAST_BYTES",
+    "ConstantTable",
     "Graph",
     "Tables",
     "adjacent_pairs",
