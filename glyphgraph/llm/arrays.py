@@ -36,6 +36,9 @@ def _seeded_table(seed: bytes, n: int) -> np.ndarray:
 _BYTE_VALUES = _seeded_table(b"byte", 256)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+# The key of the hashes of spans: what a byte is worth at each place.
+_PLACE_KEY = np.uint64(0x9E3779B97F4A7C15)
+_LENGTH_FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD_BASE = np.uint64(0xD1342543DE82EF95)
 
 
@@ -101,7 +104,27 @@ def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from one prefix sum over all of them."""
+    """A 64-bit hash of each span of bytes: the sum of its bytes times random factors of their places in the span.
+
+    The factors are keyed and of no regular kind, unlike the powers of a base, which make texts of regular structure
+    collide for every base when taken modulo a power of two.
+    """
+    sizes = ends - begins
+    offsets = np.cumsum(sizes) - sizes
+    total = int(sizes.sum())
+    place = np.arange(total) - np.repeat(offsets, sizes)
+    factors = mix((np.arange(int(sizes.max(initial=0)), dtype=np.uint64) + np.uint64(1)) * _PLACE_KEY)
+    sums = np.zeros(total + 1, dtype=np.uint64)
+    values = data[place + np.repeat(begins, sizes)].astype(np.uint64) + np.uint64(1)
+    np.cumsum(values * factors[place], out=sums[1:])
+    return mix(sums[offsets + sizes] - sums[offsets] + sizes.astype(np.uint64) * _LENGTH_FACTOR)
+
+
+def rolling_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, from one prefix sum over all of them.
+
+    For very many overlapping spans, and only to choose among them: unlike texts of regular structure collide.
+    """
     powers = np.full(len(data) + 1, _BASE, dtype=np.uint64)
     powers[0] = 1
     np.multiply.accumulate(powers, out=powers)

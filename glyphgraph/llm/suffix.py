@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import chunks, ids_of, packed, span_hashes, text_arrays, unpacked
+from .arrays import chunks, ids_of, packed, rolling_hashes, text_arrays, unpacked
 from .shards import FOUND, Found, pack_found, runs, with_found
 from .sizing import text_buckets
 from .substring import SENT, deal, sent_batch, sent_entries
@@ -54,7 +54,7 @@ def _stretch(data: np.ndarray, starts: np.ndarray, low: int, length: int, gram:
     if len(data) < length:
         return none.astype(np.uint64), none, none, none, none
     places = np.arange(len(data) - gram + 1)
-    hashes = span_hashes(data, places, places + gram)
+    hashes = rolling_hashes(data, places, places + gram)
     # the leftmost of equal hashes wins, so the choice depends on the window's bytes alone
     tagged = (hashes >> _PLACE_BITS) << _PLACE_BITS | places.astype(np.uint64)
     best = sliding_min(tagged, length - gram + 1) & np.uint64((1 << int(_PLACE_BITS)) - 1)
