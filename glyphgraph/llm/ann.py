@@ -5,7 +5,8 @@ largest inner product is the smallest distance. Each table hashes them by severa
 (2-stable) directions, cut into cells. A query visits buckets around its own, those first that most likely
 hold neighbours: by the sum of its squared distances to the cells' borders. What its buckets hold is compared
 in double precision on the original vectors, and the candidates of all tables are merged. Equal vectors are
-one entry, which keeps the smallest of its ids, as many as an answer can need.
+one entry, which keeps the smallest of its ids, as many as an answer can need. A query whose buckets hold fewer
+candidates than it asks for is compared with all vectors, block by block.
 """
 
 from __future__ import annotations
@@ -111,12 +112,14 @@ def nearest(
     """The nearest of every query: (query_id, rank, vec_id, score), at most `neighbours` rows each.
 
     Queries are the rows whose vec_id is divisible by `query_step`; candidates are all other rows. NULL ids
-    and vectors that are NULL, zero, of another width than the first, or hold NULL or non-finite components
-    take no part. Ties go to the smaller vec_id. Rows that share a vec_id and a vector count once.
+    and vectors that are NULL, zero, of another width than most (of equally frequent ones the smallest), or hold NULL
+    or non-finite components take no part. Ties go to the smaller vec_id. Rows that share a vec_id and a vector
+    count once.
     """
     clean = materialize(_clean(vectors, vector), "vectors")
-    first = clean.head(1)
-    width = len(first[0]["vector"]) if first else 1
+    widths = clean.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n"))
+    most = widths.orderBy(F.desc("n"), "width").first()
+    width = most["width"] if most else 1
     clean = clean.where(F.size("vector") == width)
     keep = neighbours + 1
 
@@ -177,15 +180,58 @@ def nearest(
     best = merged.groupBy("asked", "name").agg(F.max("score").alias("score"))
     order = W.partitionBy("asked").orderBy(F.col("score").desc(), "name")
     best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
-    spread = best.join(classes.select("name", F.explode("ids").alias("vec_id")).hint("merge"), "name")
-    answers = asked.select("query_id", F.col("name").alias("asked")).join(spread.select("asked", "vec_id", "score"), "asked")
-    rank = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (
-        answers.where("vec_id <> query_id")
-        .withColumn("rank", F.row_number().over(rank))
-        .where(F.col("rank") <= neighbours)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    asks = asked.select("query_id", F.col("name").alias("asked"))
+
+    def answered(best: DataFrame, asks: DataFrame) -> DataFrame:
+        spread = best.join(classes.select("name", F.explode("ids").alias("vec_id")).hint("merge"), "name")
+        answers = asks.join(spread.select("asked", "vec_id", "score"), "asked")
+        rank = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        ranked = answers.where("vec_id <> query_id").withColumn("rank", F.row_number().over(rank))
+        return ranked.where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
+
+    found = materialize(answered(best, asks), "answers")
+    # as many as there are: ids of copies beyond those that an entry keeps are not needed for this
+    others = classes.select(F.explode("ids").alias("vec_id")).distinct().limit(neighbours + 1).count() - 1
+    counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = asks.join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < min(neighbours, others))
+    short = materialize(short.select("query_id", "asked"), "short-queries")
+    if short.limit(1).count() == 0:
+        return found
+    rest = answered(_compared_with_all(classes, queries.join(short.select(F.col("asked").alias("name")).distinct(), "name"), size["n"], width, keep), short)
+    return found.join(short.select("query_id").hint("merge"), "query_id", "left_anti").unionByName(rest)
+
+
+# Vectors of a block when queries are compared with all of them.
+SCAN_VECTORS = 1 << 14
+
+
+def _compared_with_all(classes: DataFrame, queries: DataFrame, rows: int, width: int, keep: int) -> DataFrame:
+    """(asked, name, score): the best `keep` entries of every query (name, vector), from all entries, in blocks."""
+    blocks = -(-rows // SCAN_VECTORS)
+    left = classes.select("name", "vector", F.pmod(F.xxhash64("name"), F.lit(blocks)).alias("block"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    right = queries.select("name", "vector", every.alias("block"))
+
+    def scan(entries: pa.Table, asked: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = []
+        if entries.num_rows:
+            names, vectors = entries["name"].to_numpy(), _rows_of(entries["vector"], width)
+            asks, points = asked["name"].to_numpy(), _rows_of(asked["vector"], width)
+            for i in range(len(asks)):
+                # the score is computed as a search does it
+                score = (vectors * points[i]).sum(axis=1)
+                best = np.lexsort((names, -score))[:keep]
+                found.append((np.full(len(best), asks[i]), names[best], score[best]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
+        return pa.table(columns, ["asked", "name", "score"])
+
+    scanned = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(scan, "asked long, name long, score double")
+    order = W.partitionBy("asked").orderBy(F.col("score").desc(), "name")
+    return scanned.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).drop("place")
+
+
+def _rows_of(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, width)
 
 
 def _probe_packs(slots, tables, keys, who, names, rows) -> pa.RecordBatch:
