@@ -9,30 +9,43 @@ totals, one distributed sum each, and moves every rate by its document's posteri
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import let
 from ..operators.lookup import lookup_join
-from ..operators.storage import materialize
+from ..operators.storage import Tables, materialize
 
 # The classifier is fitted on at most this many labelled rows: those with the smallest hash of their id.
 MOST_LABELLED = 4_000
-FEATURES_PER_DOMAIN = 1_000
+# A feature counts when so many labelled rows have it.
+SUPPORT = 3
 # Endings of so many characters are features besides words.
 _ENDINGS = (2, 3)
-STEPS, TOLERANCE = 40, 1e-6
+# Steps end when every domain's total is within this share of its goal, or when no step brings them nearer.
+TOLERANCE = 1e-6
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _features(text: Column) -> Column:
-    """The distinct lower-case words of a text, and their endings, each behind a hyphen and a blank."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
-    ends = [F.transform(words, lambda w, n=n: F.concat(F.lit("- "), F.right(w, F.lit(n)))) for n in _ENDINGS]
-    return F.array_distinct(F.concat(words, *ends))
+def _described(text: Column) -> Column:
+    """(n_tokens, features): the number of a text's words; the distinct lower-case words and their endings, as hashes.
+
+    Each kind of feature has hashes of its own.
+    """
+
+    def hashed(found: Column) -> Column:
+        ends = [F.transform(found, lambda w, n=n: F.xxhash64(F.right(w, F.lit(n)), F.lit(n))) for n in _ENDINGS]
+        return F.array_distinct(F.concat(F.transform(found, lambda w: F.xxhash64(w)), *ends))
+
+    def described(words: Column) -> Column:
+        features = let(F.array_distinct(words), hashed)
+        return F.struct(F.size(words).cast("long").alias("n_tokens"), features.alias("features"))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)), described)
 
 
 def fit_domains(labelled: DataFrame, *, most_labelled: int = MOST_LABELLED) -> tuple[list, DataFrame | None]:
@@ -43,28 +56,20 @@ def fit_domains(labelled: DataFrame, *, most_labelled: int = MOST_LABELLED) -> t
     if not domains:
         return [], None
     total = sum(n for _, n in domains)
-    counts = sample.select("domain", F.explode(_features(F.col("text"))).alias("feature")).groupBy("feature").pivot("domain", [d for d, _ in domains])
-    counts = materialize(counts.agg(F.count(F.lit(1))), "feature-counts")
-    shares = [(F.coalesce(F.col(f"`{d}`"), F.lit(0)) + 0.5) / (n + 1) for d, n in domains]
-    logs = [F.log(s).alias(f"w{i}") for i, s in enumerate(shares)]
-    best = []
-    for i, own in enumerate(shares):
-        others = shares[:i] + shares[i + 1 :]
-        gain = own - (F.greatest(*others) if len(others) > 1 else others[0] if others else F.lit(0.0))
-        ranked = counts.select("feature", *logs, gain.alias("gain")).where("gain > 0")
-        best.append(ranked.orderBy(F.desc("gain"), "feature").limit(FEATURES_PER_DOMAIN).drop("gain"))
-    # a feature gains in one domain at most
-    telling = best[0]
-    for more in best[1:]:
-        telling = telling.unionByName(more)
+    held = sample.select("domain", F.explode(_described(F.col("text"))["features"]).alias("feature"))
+    held = held.groupBy("feature").agg(
+        F.count("*").alias("n"), *[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, (d, _) in enumerate(domains)]
+    )
+    logs = [F.log((F.col(f"n{i}") + 0.5) / (n + 1)).alias(f"w{i}") for i, (_, n) in enumerate(domains)]
+    telling = held.where(F.col("n") >= SUPPORT).select("feature", *logs)
     return [(d, n / total) for d, n in domains], materialize(telling, "telling")
 
 
 def _with_posteriors(frame: DataFrame, domains: list, telling: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, posteriors) from (doc_id, n_tokens, text), one row per row."""
+    """(doc_id, n_tokens, posteriors) from (doc_id, text), one row per row."""
     # all features of a row are in one task, so they are combined there and a row a document is shuffled
-    numbered = frame.withColumn("_row", F.monotonically_increasing_id())
-    held = numbered.select("_row", "doc_id", "n_tokens", F.explode_outer(_features(F.col("text"))).alias("feature"))
+    found = frame.select(F.monotonically_increasing_id().alias("_row"), "doc_id", _described(F.col("text")).alias("_found"))
+    held = found.select("_row", "doc_id", "_found.n_tokens", F.explode_outer("_found.features").alias("feature"))
     sums = [F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in range(len(domains))]
     summed = lookup_join(held, telling, "feature").groupBy("_row", "doc_id", "n_tokens").agg(*sums)
     # each step is a column, so that none is computed again
@@ -81,56 +86,76 @@ def fit_rates(
     """A rate for every document: (doc_id, n_tokens, posteriors, rate), one row per row.
 
     `docs` has doc_id and text, `labelled` doc_id, text and domain; other columns are ignored. `targets`
-    are weights by domain (missing: 0), scaled so that no domain has to shrink: mixing repeats documents of
-    domains that are short and drops none for being in one that is not. NULL and empty texts have no tokens
-    and the domains' shares as posteriors. Posteriors are in the order of the domains' names. Without
-    labelled rows, or if no target names a domain, every rate is one.
+    are weights by domain, scaled so that no domain has to shrink: mixing repeats documents of domains that are short
+    and drops none for being in one that is not. A domain without a target keeps the tokens it has, and the targets
+    share what is left. NULL and empty texts have no tokens and the domains' shares as posteriors. Posteriors are in
+    the order of the domains' names. Without labelled rows, or if no target names a domain, every rate is one.
+
+    Where no nonnegative rates meet all goals, as when a domain only occurs beside others, the rates are those of
+    the least squares of what is left.
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    n_tokens = F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_tokens")
     domains, telling = fit_domains(labelled, most_labelled=most_labelled)
     names = [d for d, _ in domains]
     wanted = [max(0.0, targets.get(d, 0.0)) for d in names]
     if not sum(wanted):
         none = F.expr("array()").cast("array<double>").alias("posteriors")
+        n_tokens = F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_tokens")
         return base.select("doc_id", n_tokens, none, F.lit(1.0).alias("rate"))
-    scored = _with_posteriors(base.select("doc_id", n_tokens, "text"), domains, telling)
-    current = materialize(scored.withColumn("rate", F.lit(1.0)), "rates")
-    wanted = [w / sum(wanted) for w in wanted]
+    scored = _with_posteriors(base, domains, telling)
     k = range(len(names))
-
-    def totals(frame: DataFrame) -> list[float]:
-        own = [F.coalesce(F.sum(F.col("rate") * F.col("n_tokens") * F.col("posteriors")[i]), F.lit(0.0)).alias(f"t{i}") for i in k]
-        return list(frame.agg(*own).first())
-
-    # the targets' Gram matrix scales the gradient, so that a step without clipping meets them at once
-    pairs = [(i, j) for i in k for j in k]
-    share = F.col("posteriors")
-    sums = [F.coalesce(F.sum(F.col("n_tokens") * share[i] * share[j]), F.lit(0.0)) for i, j in pairs]
-    gram = np.array(list(current.agg(*(x.alias(f"g{n}") for n, x in enumerate(sums))).first())).reshape(len(names), -1)
-    start = totals(current)
-    goal = max((s / w for s, w in zip(start, wanted, strict=True) if w > 0), default=0.0)
-    for _ in range(STEPS):
+    share, one = F.col("posteriors"), F.lit(1.0).alias("rate")
+
+    def totals(frame: DataFrame) -> np.ndarray:
+        own = [F.coalesce(F.sum(F.col("rate") * F.col("n_tokens") * share[i]), F.lit(0.0)).alias(f"t{i}") for i in k]
+        return np.array(list(frame.agg(*own).first()))
+
+    with Tables(docs.sparkSession) as tables:
+        current = tables.write(scored.select("*", one), "rates-0")
+        # the targets' Gram matrix scales the gradient, so that a step without clipping meets them at once
+        pairs = [(i, j) for i in k for j in k]
+        sums = [F.coalesce(F.sum(F.col("n_tokens") * share[i] * share[j]), F.lit(0.0)) for i, j in pairs]
+        gram = np.array(list(current.agg(*(x.alias(f"g{n}") for n, x in enumerate(sums))).first())).reshape(len(names), -1)
         now = totals(current)
-        error = [w * goal - t for w, t in zip(wanted, now, strict=True)]
-        if max(map(abs, error)) <= TOLERANCE * max(goal, 1.0):
-            break
-        scaled = np.linalg.lstsq(gram, np.array(error), rcond=None)[0]
-        step = sum((share[i] * float(c) for i, c in enumerate(scaled)), F.lit(0.0))
-        current = materialize(current.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") + step)), "rates")
-    return current
+        goal = _goals(now, wanted)
+        kept, step, tries = "rates-0", 1.0, 0
+        while np.abs(goal - now).max() > TOLERANCE * max(goal.max(), 1.0) and step > 1e-3:
+            scaled = np.linalg.lstsq(gram, goal - now, rcond=None)[0] * step
+            move = sum((share[i] * float(c) for i, c in enumerate(scaled)), F.lit(0.0))
+            tries += 1
+            moved = tables.write(current.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") + move)), f"rates-{tries}")
+            then = totals(moved)
+            # a step that does not come a little nearer is tried again at half its length
+            if np.linalg.norm(goal - then) < (1 - 1e-4) * np.linalg.norm(goal - now):
+                tables.drop(kept)
+                current, now, kept, step = moved, then, f"rates-{tries}", min(1.0, 2 * step)
+            else:
+                tables.drop(f"rates-{tries}")
+                step /= 2
+        tables.keep(kept)
+        return current
+
+
+def _goals(tokens: np.ndarray, wanted: list[float]) -> np.ndarray:
+    """The tokens each domain should have: targets in proportion, no domain below what it has, others as they are."""
+    weights = np.array(wanted) / sum(wanted)
+    named = weights > 0
+    whole = (tokens[named] / weights[named]).max()
+    return np.where(named, weights * whole, tokens)
 
 
 def apply_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """`docs` with each row as often as its rate says: its whole part, and once more with the chance of the rest.
 
-    Chance is a hash of doc_id, so a run repeats. A row stays at least once unless its rate is zero.
+    Chance is a hash of doc_id, so a run repeats. Every row stays at least once, so the written mix exceeds a goal by
+    what rates below one are rounded up. Rows that share a doc_id (or have none) have the highest of its rates.
     """
-    rates = rates.select(F.col("doc_id").alias("rate_id"), "rate").dropDuplicates(["rate_id"])
+    key, rate = (f"{name}_{uuid.uuid4().hex}" for name in ("doc", "rate"))
+    highest = rates.groupBy(F.col("doc_id").alias(key)).agg(F.max("rate").alias(rate))
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
-    copies = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    copies = F.when(F.col("rate") > 0, F.greatest(copies, F.lit(1))).otherwise(0)
-    joined = docs.join(rates.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rate_id")))
-    repeated = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-    return repeated.select(*(docs[c] for c in docs.columns))
+    whole = F.floor(F.coalesce(rate, F.lit(1.0)))
+    copies = F.greatest(whole + F.when(chance < F.coalesce(rate, F.lit(1.0)) - whole, 1).otherwise(0), F.lit(1))
+    joined = docs.join(highest.hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    each = F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias(rate)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], each).drop(rate)
