@@ -77,27 +77,14 @@ def text_scans(plan):
     return plan.count("content:string")
 
 
-def test_segmenting_reads_texts_once_and_moves_no_characters(stored, sample_corpus):
-    frame = segmentation.segment_texts(stored, sample_corpus)
-    plan = plan_of(frame)
-    # both sides of the join start from the same exchange of stretches; segmented ones then meet by comment
-    assert exchanges(plan) == ["hashpartitioning"] * 3
-    assert len(re.findall(r"Exchange hashpartitioning\(key#\d+, \d+\), REPARTITION_BY_NUM", plan)) == 2
-    for path in above(plan, "FileScan"):
-        if any("posexplode(chars" in operator for operator in path):
-            moved = [i for i, operator in enumerate(path) if operator.startswith("Exchange")]
-            expanded = next(i for i, operator in enumerate(path) if "posexplode(chars" in operator)
-            # of what is above the characters only the texts move, glued from the marks of a stretch
-            assert [i < expanded for i in moved] == [True, False]
-            assert "SortMergeJoin [key" in " ".join(path[moved[0] : expanded])
-    # the corpus weights are broadcast, the marks are not
-    assert plan.count("BroadcastHashJoin") == 2
-    assert plan.count("SortMergeJoin") == 1
-
-    frame.collect()
-    final = plan_of(frame).split("Initial Plan")[0]
-    assert text_scans(final) == 1
-    assert len(re.findall(r"ReusedExchange .*Exchange hashpartitioning", final)) == 1
+def test_segmenting_reads_texts_once_and_makes_no_rows_of_characters(stored, sample_corpus):
+    plan = plan_of(segmentation.segment_texts(stored, sample_corpus))
+    # what moves are the segmented stretches, when they come together
+    assert exchanges(plan) == ["hashpartitioning"]
+    assert "Join" not in plan
+    assert text_scans(plan) == 1
+    # texts are cut into stretches, and nothing else is made rows of
+    assert re.findall(r"Generate (\w+)\((\w+)", plan) == [("posexplode", "units")]
 
 
 def test_a_big_corpus_meets_the_different_pairs_of_a_stretch(spark, stored, sample_corpus):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphgraph.operators import (
+    ConstantTable,
     Graph,
     Tables,
     concat_sorted,
@@ -203,3 +204,20 @@ def test_a_hot_source_is_spread_over_places(spark):
         placed = module._Edges(tables, edges, placed=True)
         sizes = [r["count"] for r in placed.frame.groupBy("place").count().collect()]
         assert sum(sizes) == 4000 and max(sizes) < 4000 / 3
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 17, 3000])
+def test_a_constant_table_gives_the_value_of_every_key(spark, n):
+    rng = random.Random(n)
+    known = {rng.randrange(-(1 << 60), 1 << 60): rng.randrange(1 << 50) for _ in range(n)}
+    frame = spark.createDataFrame(list(known.items()), "k long, v long")
+    table = ConstantTable.of(frame, "k", "v")
+    asked = [*known, *(rng.randrange(1 << 60) for _ in range(50)), None, 0]
+    found = spark.createDataFrame([(asked,)], "items array<long>").select(table.values_of(F.col("items"), -1)).first()[0]
+    assert found == [known.get(k, -1) for k in asked]
+
+
+def test_a_big_table_is_no_constant(spark):
+    frame = spark.range(20).selectExpr("id as k", "id as v")
+    assert ConstantTable.of(frame, "k", "v", most_rows=19) is None
+    assert ConstantTable.of(frame, "k", "v", most_rows=20) is not None

@@ -10,6 +10,10 @@ from glyphgraph.plans import comments as texts
 from glyphgraph.plans import results, segmentation
 
 
+# Fixed values in this file: the stored field names sourceName, desName, weight, vertexId, wordName, sourceId and
+# desId, the id field of an export, and the marks of result lines.
+
+
 def rows(frame):
     return sorted(map(tuple, frame.collect()), key=str)
 
