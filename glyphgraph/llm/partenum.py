@@ -39,7 +39,7 @@ _SIGNATURE_BYTES = 5
 # makes two sets differ more, so any choice gives the same links; MOST_COMMON bounds what tasks are sent.
 COMMON_SHARE = 200
 MOST_COMMON = 1 << 16
-_BLOCK = 600
+_BLOCK = 2400
 _COLUMNS = 1024
 
 _SENT = "bucket int, docs binary, prints binary, counts binary, signatures binary"
@@ -296,7 +296,7 @@ def _compare_block(table: pa.Table) -> pa.Table:
 
 
 def _dealt(made: np.ndarray, owner: np.ndarray, ids: np.ndarray, one: np.ndarray, buckets: int) -> pa.RecordBatch:
-    bucket = (made >> np.uint64(44)).astype(np.int64) % buckets
+    bucket = ((made >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((owner, bucket))
     rows = []
     for begin, n in zip(*runs(bucket[order]), strict=True):
