@@ -66,6 +66,7 @@ class MergeAutomaton:
                     self.ends.append(-1)
             self.ends[node] = token
         self.spelled = spelled
+        self.longest = max(map(len, spelled), default=0)
 
     def _add_gadget(self, rank: int, u: int, v: int, w: int, spelled: dict[bytes, int]) -> None:
         # without a path u v there is nothing to stand beside
@@ -104,7 +105,7 @@ class MergeAutomaton:
     def _arcs_at(self, word: bytes, place: int) -> list[int]:
         """The arcs whose labels come next in the word, shortest first."""
         step, ends, node, found = self.step, self.ends, 0, []
-        for byte in word[place : place + 256]:
+        for byte in word[place : place + self.longest]:
             node = step.get(node << 8 | byte)
             if node is None:
                 break
