@@ -39,7 +39,7 @@ _SIGNATURE_BYTES = 5
 # makes two sets differ more, so any choice gives the same links; MOST_COMMON bounds what tasks are sent.
 COMMON_SHARE = 200
 MOST_COMMON = 1 << 16
-_BLOCK = 2400
+_BLOCK = 1200
 _COLUMNS = 1024
 
 _SENT = "bucket int, docs binary, prints binary, counts binary, signatures binary"
