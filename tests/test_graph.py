@@ -1,8 +1,12 @@
+import importlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from glyphgraph.operators import Graph, dense_ids, lookup_join, pregel
 from glyphgraph.operators import lookup as lookup_module
+from glyphgraph.plans.comments import comment_graph
 from glyphgraph.plans.corpus import corpus_graph, edges_with_ids, vertex_ids
 
 
@@ -193,3 +197,38 @@ def test_size_bound_counts_strings_and_refuses_arrays(spark):
     assert lookup_module.fits_broadcast(short, 4000)
     with pytest.raises(TypeError, match="array"):
         lookup_module.estimated_bytes(spark.range(1).select(F.array("id").alias("a")))
+
+
+def test_places_without_edges(spark):
+    rng = random.Random(8)
+    places = [None, -65, -64, -1, 0, 1, 63, 64, 1 << 40, (1 << 63) - 1, -(1 << 63)]
+    paths = [None, 1, 2]
+    kind = "struct<path:bigint,pos:bigint>"
+    for _ in range(3):
+        ids = [(rng.choice(paths), rng.choice(places)) for _ in range(40)] + [None]
+        ends = [((rng.choice(paths), rng.choice(places)), (rng.choice(paths), rng.choice(places))) for _ in range(12)]
+        vertices = spark.createDataFrame([(i, f"n{n}") for n, i in enumerate(ids)], f"id {kind}, name string").repartition(3)
+        graph = Graph(vertices, spark.createDataFrame(ends, f"src {kind}, dst {kind}").repartition(2))
+        for found, taken in ((graph.sources(), {d for _, d in ends}), (graph.sinks(), {s for s, _ in ends})):
+            expected = sorted(f"n{n}" for n, i in enumerate(ids) if i not in taken)
+            assert found.columns == ["id", "name"]
+            assert sorted(r["name"] for r in found.collect()) == expected
+            assert all(ids[int(r["name"][1:])] == (r["id"] and tuple(r["id"])) for r in found.collect())
+
+
+def test_characters_stay_where_their_text_lies(spark, comments, monkeypatch):
+    module, plans = importlib.import_module("glyphgraph.operators.graph"), []
+
+    def seen(frame, name):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return frame
+
+    monkeypatch.setattr(module, "materialize", seen)
+    corpus = spark.createDataFrame([("a", "b", 3)], "src string, dst string, weight long")
+    graph = comment_graph(comments("ab", "", None, "x" * 200), corpus)
+    graph.sources(), graph.sinks()
+    for plan in plans:
+        # what comes after are the ids that hold a NULL
+        named = plan.split("SortMergeJoin")[0]
+        assert "ShuffledHashJoin" in named
+        assert named.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in named
