@@ -218,3 +218,18 @@ def test_a_result_file_that_lost_a_part_is_refused(spark, tmp_path):
     spark.createDataFrame([(9, 9, 0)], "comment_id long, part long, place long").write.mode("append").parquet(f"{target}/index")
     with pytest.raises(ValueError, match="index"):
         results.read_result_file(spark, target)
+
+
+def test_a_part_of_a_result_file_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(results, "FILE_BLOCKS", 3)
+    target = str(tmp_path / "result")
+    frame = spark.createDataFrame([(i, f"t {i}\n") for i in range(23)], "comment_id long, segmented string")
+    results.save_result_file(frame.repartition(4), target, part_blocks=10)
+    parts = sorted((tmp_path / "result/blocks").glob("part=*"), key=lambda p: int(p.name.split("=")[1]))
+    files = [f for p in parts for f in sorted(p.glob("*.txt"))]
+    blocks = [f.read_text(encoding="utf-8").count(results.SEGMENTED_MARK) for f in files]
+    assert blocks == [3, 3, 3, 1, 3, 3, 3, 1, 3]
+    expected = [f"{results.ORIGINAL_MARK}t{i}\n\n{results.SEGMENTED_MARK}t {i}\n\n\n" for i in range(23)]
+    assert "".join(f.read_text(encoding="utf-8") for f in files) == "".join(expected)
+    read = results.read_result_file(spark, target)
+    assert sorted(tuple(r) for r in read.collect()) == sorted((i // 10, f"t{i}\n", f"t {i}\n") for i in range(23))
