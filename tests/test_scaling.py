@@ -13,6 +13,7 @@ from glyphgraph.operators import (
     Tables,
     concat_sorted,
     deep_slice,
+    materialize,
     merge_in_order,
     path_positions,
     pregel,
@@ -221,3 +222,34 @@ def test_a_big_table_is_no_constant(spark):
     frame = spark.range(20).selectExpr("id as k", "id as v")
     assert ConstantTable.of(frame, "k", "v", most_rows=19) is None
     assert ConstantTable.of(frame, "k", "v", most_rows=20) is not None
+
+
+def test_rows_that_lie_one_after_the_other_move_as_one(spark, monkeypatch):
+    """Paths in order, out of order, with gaps, restarts, NULLs and places that come twice."""
+    from glyphgraph.plans import segmentation
+
+    rng, table, written = random.Random(9), [], {}
+
+    def seen(frame, name):
+        written[name] = materialize(frame, name)
+        return written[name]
+
+    monkeypatch.setattr(segmentation, "materialize", seen)
+    for k in range(30):
+        places = sorted(rng.sample(range(-3, 60), 40)) if k % 3 else list(range(700))
+        path = [((k, "p"), p, rng.choice(["a", "é", "", " ", "😀"]), rng.choice("EBIMSU" if k % 2 else "EBI")) for p in places]
+        table += rng.sample(path, len(path)) if k % 5 == 4 else path
+    kind = "path struct<k:bigint,s:string>, pos long, name string, label string"
+    frame = spark.createDataFrame(table, kind).coalesce(1)
+    expected = {}
+    for path, _, name, label in sorted(table, key=lambda r: (r[0], r[1])):
+        expected.setdefault(path, ([], []))
+        expected[path][0].append(name)
+        expected[path][1].append(label)
+    found = {tuple(r["path"]): r["segmented"] for r in glue_labels(frame).collect()}
+    assert found == {path: glued(*row) for path, row in expected.items()}
+    assert written["label-runs"].count() < len(table) / 2
+    # places that come twice: all rows in the order of place and text
+    twice = [(k, p, c, "I") for k in (None, 1) for text in ("xyz", "abcd") for p, c in enumerate(text)] + [(2, 0, "q", "I")]
+    frame = spark.createDataFrame(twice, "path long, pos long, name string, label string").coalesce(1)
+    assert dict(map(tuple, glue_labels(frame).collect())) == {None: "axbyczd", 1: "axbyczd", 2: "q"}
