@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from glyphgraph.functions import END_RATIO_FRACTIONAL, label_of
+from glyphgraph.functions import END_RATIO_FRACTIONAL, END_RATIO_INTEGER, label_of
 from glyphgraph.operators import Graph, all_characters
+from glyphgraph.plans import gluing
 from glyphgraph.plans.comments import comment_graph, path_ends, path_starts, weighted_edges
 from glyphgraph.plans.segmentation import (
     glue_labels,
@@ -217,3 +218,20 @@ def test_glue_given_labels_by_vertex_program(spark):
     glued = pregel_glue(Graph(vertices, edges))
     found = {r["id"] // 100: r["text"] for r in glued.members(Graph(vertices, edges).sinks()).collect()}
     assert found == {k: p[2] for k, p in enumerate(PATHS)}
+
+
+@pytest.mark.parametrize("letters", [gluing._DENSE, 0])
+@pytest.mark.parametrize("size", [None, 1, 3])
+def test_stretches_glued_as_arrays_are_those_glued_as_columns(spark, comments, monkeypatch, letters, size):
+    monkeypatch.setattr(gluing, "_DENSE", letters)
+    monkeypatch.setattr(gluing, "_CHUNK_BYTES", 40)
+    rng = random.Random(10)
+    alphabet = "ab é很😀。\n"
+    rows = [(a, b, rng.choice([1, 6, 7, 10, 14, 20, 40])) for a in alphabet for b in alphabet if rng.random() < 0.7]
+    corpus = spark.createDataFrame(rows, "src string, dst string, weight long")
+    frame = comments("", None, "a", *["".join(rng.choice(alphabet + "\U0010ffffz") for _ in range(rng.randrange(60))) for _ in range(60)])
+    for ratio in (END_RATIO_INTEGER, END_RATIO_FRACTIONAL):
+        found = segment_texts(frame, corpus, end_ratio=ratio, unit_size=size)
+        assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+        as_columns = segment_texts(frame, corpus, end_ratio=lambda i, o: ratio(i, o), unit_size=size)  # noqa: B023
+        assert texts(found) == texts(as_columns)
