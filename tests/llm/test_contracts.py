@@ -164,6 +164,24 @@ def test_lines_against_all_pairs(table):
     assert gone <= expected and len(gone) >= 0.97 * len(expected) and len(expected) > 40
 
 
+@pytest.mark.parametrize("share", [16, 1])
+def test_similar_lines_of_a_crowd_link(table, monkeypatch, share):
+    """Lines that share nothing but common phrases with those like them, in bands of more than a hundred."""
+    monkeypatch.setattr(line_dedup, "COMMON_SHARE", share)
+    rng = random.Random(12)
+    opening = "all of this was written by the people who once lived beside the old river and said"
+    closing = "which is why nobody in the whole town has ever wanted to go back there since"
+    texts = []
+    for _ in range(60):
+        # one long word between the phrases, so whatever holds it differs
+        word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=90))
+        texts += [f"{opening} {word} {closing}", f"{opening} {word[:45]}#{word[46:]} {closing}"]
+    assert all(similar(a, b) for a, b in zip(texts[::2], texts[1::2], strict=True))
+    assert not any(similar(texts[0], other) for other in texts[2:])
+    found = rows(line_dedup.remove_similar_lines(table(list(enumerate(texts)))), "doc_id", "n_removed")
+    assert {i for i, n in found if n} == set(range(1, 120, 2))
+
+
 NAMES = [
     "gone_id", "gone_places", "n_lines", "n_removed", "places", "name", "line", "rate", "rate_id", "_copy", "kept_id",
     "component", "component_id", "kept", "shard", "place", "id", "band",
