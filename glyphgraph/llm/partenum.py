@@ -6,9 +6,11 @@ three pieces each, very common shingles left out; with n1 above k / 2 some part
 are equal in both sets: every pair of pieces gives a signature, and the sets share one. Sets with too many
 empty pieces for that also give the shingles of their prefix as signatures, which similar sets share as well.
 
-Sets that share signatures, directly or by way of others, make a cluster. Each set is sent to its cluster
-once, or to several blocks of bounded size if the cluster is large, and every two sets of a cluster are
-compared exactly in some block; what a block gives back are fewer links than it has members.
+Sets that share a signature make a group. Frequent passages put many unlike sets into one, so its members first
+compare sketches: the numbers of shingles in each of a few cells by hash, of which no two sets have more in common
+than the lesser number in every cell. Sets whose sketches allow a link, directly or by way of others, make a cluster.
+Each set is sent to its cluster once, or to several blocks of bounded size if the cluster is large, and every two sets
+of a cluster are compared exactly in some block; what a block gives back are fewer links than it has members.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,10 +42,13 @@ _SIGNATURE_BYTES = 5
 COMMON_SHARE = 200
 MOST_COMMON = 1 << 16
 _BLOCK = 1200
+# Sketches that are compared at once.
+_SKETCH_BLOCK = 8192
 _COLUMNS = 1024
 
 _SENT = "bucket int, docs binary, prints binary, counts binary, signatures binary"
 _GROUPS = "shard long, sizes binary, members binary"
+_SETS = "doc_id long, n_shingles long, one long, two long, sketch binary, is_set boolean"
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +86,44 @@ def _prints(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return made[0], made[1]
 
 
+def _cells(sizes: np.ndarray) -> np.ndarray:
+    """The cells of a sketch: a power of two, two to four shingles each."""
+    return 1 << np.maximum(3, np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64) - 1)
+
+
+def sketches(hashes: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """For each set how many of its shingles lie in every cell, 255 at most."""
+    sizes = np.diff(edges)
+    cells = _cells(sizes)
+    ends = np.cumsum(cells)
+    at = mix(hashes ^ np.uint64(13)) & np.repeat(cells - 1, sizes).astype(np.uint64)
+    counts = np.bincount(at.astype(np.int64) + np.repeat(ends - cells, sizes), minlength=int(ends[-1]) if len(ends) else 0)
+    counts = np.minimum(counts, 255).astype(np.uint8)
+    return [packed(counts[end - n : end]) for end, n in zip(ends.tolist(), cells.tolist(), strict=True)]
+
+
+def may_link(sizes: np.ndarray, made: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """Links of sets with some earlier one that hold together all whose sketches allow them to be similar."""
+    counts = [np.frombuffer(m, np.uint8) for m in made]
+    least = min(len(c) for c in counts)
+    # a cell of fewer ones is the sum of those whose numbers end alike
+    held = np.stack([c if len(c) == least else c.reshape(-1, least).sum(axis=0, dtype=np.uint32) for c in counts])
+    # shingles that a full cell does not count may be in both
+    rest = sizes - held.sum(axis=1, dtype=np.int64)
+    left = np.arange(len(sizes))
+    while len(left):
+        meeting, left = [left[0]], left[1:]
+        while meeting and len(left):
+            one = meeting.pop()
+            both = np.minimum(held[one], held[left]).sum(axis=1, dtype=np.int64) + np.minimum(rest[one], rest[left])
+            both = np.minimum(both, np.minimum(sizes[one], sizes[left]))
+            linked = (OF + SIMILAR) * both >= SIMILAR * (sizes[one] + sizes[left])
+            if linked.any():
+                yield one, left[linked]
+                meeting.extend(left[linked])
+                left = left[~linked]
+
+
 def band_edges(largest: int) -> list[int]:
     edges = [1]
     while edges[-1] <= largest:
@@ -160,21 +203,22 @@ def ngram_components(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
         for part in chunks(batches):
             hashes, edges = shingle_sets(part.column("text"), shingle)
             one, two = _prints(hashes, edges)
-            names = ["doc_id", "n_shingles", "one", "two", "is_set"]
-            arrays = [part.column("doc_id"), pa.array(np.diff(edges)), pa.array(one), pa.array(two)]
+            names = ["doc_id", "n_shingles", "one", "two", "sketch", "is_set"]
+            sketched = pa.array(sketches(hashes, edges), pa.binary())
+            arrays = [part.column("doc_id"), pa.array(np.diff(edges)), pa.array(one), pa.array(two), sketched]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([True] * part.num_rows, pa.bool_())], names)
             # in the same pass: how many texts of the slice have its most frequent shingles
             values, counts = np.unique(hashes, return_counts=True)
             frequent = counts >= max(3, part.num_rows // (2 * COMMON_SHARE))
             n = int(frequent.sum())
             none = pa.nulls(n, pa.int64())
-            arrays = [none, pa.array(counts[frequent]), pa.array(values[frequent].view(np.int64)), none]
+            arrays = [none, pa.array(counts[frequent]), pa.array(values[frequent].view(np.int64)), none, pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([False] * n, pa.bool_())], names)
 
-    described = materialize(
-        source.mapInArrow(describe, "doc_id long, n_shingles long, one long, two long, is_set boolean"), "sets"
-    )
-    sets = described.where("is_set").drop("is_set")
+    described = materialize(source.mapInArrow(describe, _SETS), "sets")
+    sketched = described.where("is_set and doc_id is not null and n_shingles > 0")
+    sketched = sketched.select("doc_id", "n_shingles", "sketch").distinct()
+    sets = described.where("is_set").drop("is_set", "sketch")
     frequent = described.where("not is_set").groupBy("one").agg(F.sum("n_shingles").alias("n"))
     frequent = frequent.where(F.col("n") * COMMON_SHARE >= max(sets.count(), 1000)).orderBy(F.desc("n"), "one").limit(MOST_COMMON)
     common = np.sort(np.array([r["one"] for r in frequent.collect()], dtype=np.int64).view(np.uint64))
@@ -227,17 +271,23 @@ def ngram_components(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.unique(ids_of(batch.column("members").flatten()))
+            ids = np.unique(ids_of(batch.column("id")))
             yield from pack_found(ids, ids, buckets).to_batches()
 
-    asked = groups.mapInArrow(ask, FOUND)
+    members = groups.select(
+        F.xxhash64("members").alias("name"), F.size("members").alias("n"), F.posexplode("members").alias("place", "id")
+    )
+    blocks = F.explode(_blocks(F.col("place"), F.col("n") - 1, _SKETCH_BLOCK)).alias("block")
+    met = members.select("name", blocks, "id").join(sketched.hint("merge"), F.col("id") == F.col("doc_id"))
+    met = met.select(F.pmod(F.xxhash64("name", "block"), F.lit(buckets)).alias("shard"), F.hash("block").alias("block"), "name", "id", "n_shingles", "sketch")
+    stars = materialize(met.groupBy("shard").applyInArrow(_sketched_links, "a long, b long").distinct(), "stars")
+    clusters = materialize(components(stars), "clusters")
+    asked = clusters.select("id").mapInArrow(ask, FOUND)
     shingles = materialize(
         with_found(source, asked, buckets, gather, "doc_id long, shingles binary").dropDuplicates(["doc_id"]),
         "candidates",
     )
 
-    stars = groups.select(F.col("members")[0].alias("a"), F.explode("members").alias("b")).where("a <> b").distinct()
-    clusters = materialize(components(stars), "clusters")
     blocks = _in_blocks(clusters).join(shingles.hint("merge"), F.col("id") == F.col("doc_id"))
     inside = blocks.select("name", "block", "id", "shingles").groupBy("name", "block")
     edges = materialize(inside.applyInArrow(_compare_block, "a long, b long"), "edges")
@@ -258,13 +308,32 @@ def _in_blocks(clusters: DataFrame) -> DataFrame:
     """Members by block: (name, block, id). Every two members of a cluster meet in a block of bounded size."""
     place = (F.row_number().over(W.partitionBy("component").orderBy("id")) - 1).cast("long")
     placed = clusters.select(F.col("component").alias("name"), "id", place.alias("place"))
-    own = F.expr(f"place div {_BLOCK}")
-    last = placed.groupBy("name").agg(F.max(own).alias("last"))
-    others = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("last")),
+    last = placed.groupBy("name").agg(F.max("place").alias("last"))
+    blocks = F.explode(_blocks(F.col("place"), F.col("last"), _BLOCK)).alias("block")
+    return placed.join(last.hint("merge"), "name").select("name", blocks, "id")
+
+
+def _blocks(place: Column, last: Column, size: int) -> Column:
+    """The blocks that a place goes to: every two stretches of `size` places up to the last one share a block."""
+    own, end = (F.floor(p / size) for p in (place, last))
+    return F.transform(
+        F.sequence(F.lit(0).cast("long"), end),
         lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high")),
     )
-    return placed.join(last.hint("merge"), "name").select("name", F.explode(others).alias("block"), "id")
+
+
+def _sketched_links(table: pa.Table) -> pa.Table:
+    """Links (a, b) that hold together the members of every group and block whose sketches allow it."""
+    names, blocks = table["name"].to_numpy(), table["block"].to_numpy()
+    ids, sizes, made = table["id"].to_numpy(), table["n_shingles"].to_numpy(), table["sketch"].to_pylist()
+    order = np.lexsort((ids, blocks, names))
+    edges = np.flatnonzero((np.diff(names[order]) != 0) | (np.diff(blocks[order]) != 0)) + 1
+    found = set()
+    for part in np.split(order, edges):
+        for one, others in may_link(sizes[part], [made[i] for i in part.tolist()]):
+            found.update((int(ids[part[one]]), b) for b in ids[part[others]].tolist())
+    links = np.array([(min(p), max(p)) for p in found if p[0] != p[1]], np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
 
 
 def _compare_block(table: pa.Table) -> pa.Table:

@@ -49,6 +49,44 @@ def test_regular_words_are_told_apart(table, length):
     assert linked == [(i, i) for i, _ in docs]
 
 
+def test_unlike_sets_that_share_signatures_are_not_sent(table, monkeypatch):
+    """Long passages of three texts each make groups of unlike sets; only those that can be similar are compared whole."""
+    rng = random.Random(7)
+    passages = [[f"p{n}x{i}" for i in range(140)] for n in range(20)]
+    texts = [" ".join([*passages[i % 20], *(f"w{rng.randrange(10**6)}" for _ in range(100))]) for i in range(60)]
+    texts += [f"{text} end" for text in texts[:3]]
+    written = {}
+
+    def recorded(frame, name, write=partenum.materialize):
+        written[name] = write(frame, name)
+        return written[name]
+
+    monkeypatch.setattr(partenum, "materialize", recorded)
+    found = rows(partenum.ngram_components(table(list(enumerate(texts)))), "doc_id", "component_id")
+    assert found == sorted([(i, i - 60 if i >= 60 else i) for i in range(63)], key=repr)
+    grouped = {i for (members,) in rows(written["groups"], "members") for i in members}
+    assert len(grouped) > 40
+    assert {i for (i,) in rows(written["candidates"], "doc_id")} == {0, 1, 2, 60, 61, 62}
+
+
+def test_sketches_allow_all_similar_sets():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 5, 9, 40, 300, 5000):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        sets = [np.unique(base)]
+        for share in (0.02, 0.05, 0.09):
+            fresh = rng.integers(0, 1 << 63, int(size * share), dtype=np.uint64)
+            sets += [np.unique(np.concatenate([base, fresh])), np.unique(np.concatenate([base[len(fresh) :], fresh]))]
+        sets = [s for s in sets if 100 * len(np.intersect1d(s, sets[0])) >= 80 * len(np.union1d(s, sets[0]))]
+        edges = np.cumsum([0, *map(len, sets)])
+        made = partenum.sketches(np.concatenate(sets), edges)
+        for i in range(1, len(sets)):
+            assert list(partenum.may_link(np.diff(edges)[[0, i]], [made[0], made[i]]))
+    # full cells tell nothing of what is above them
+    full = [bytes([255] * 8), bytes([255] * 8)]
+    assert list(partenum.may_link(np.array([4000, 4100]), full))
+
+
 def vectors(spark, rows_):
     return spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(2)
 
