@@ -220,6 +220,62 @@ def test_similar_lines_of_a_crowd_link(table, monkeypatch, share):
     assert {i for i, n in found if n} == set(range(1, 120, 2))
 
 
+def test_parities_keep_all_similar_lines(spark):
+    rng = random.Random(21)
+    pairs = []
+    for length in (1, 4, 6, 12, 30, 60, 150, 400, 1500):
+        for edits in range(6):
+            text = "".join(rng.choices("abcdefghijklmnop ", k=length))
+            other = list(text)
+            for _ in range(edits):
+                other[rng.randrange(length)] = rng.choice("#x")
+            pairs.append((len(pairs), text, "".join(other)))
+    pairs += [(len(pairs) + i, a, b) for i, ((_, a, _), (_, b, _)) in enumerate(zip(pairs[24:36], pairs[30:42], strict=True))]
+    frame = spark.createDataFrame(pairs, "i int, a string, b string")
+    sides = []
+    for side in "ab":
+        bits = line_dedup._parities(line_dedup._shingles(F.col(side)))
+        sides += [F.size(line_dedup._shingles(F.col(side))), bits["low"], bits["high"]]
+    possible = dict(rows(frame.select("i", line_dedup._can_be_similar(*sides).alias("possible")), "i", "possible"))
+    alike = [i for i, a, b in pairs if similar(a, b)]
+    assert len(alike) > 20 and all(possible[i] for i in alike)
+    assert sum(possible.values()) < len(pairs)
+
+
+def test_texts_of_lines_go_before_the_crowd_is_searched(table, monkeypatch):
+    """Lines are held once while pairs are searched, in the bucketed table."""
+    held = []
+
+    def searched(tables, crowd, lines, search=line_dedup._crowded_pairs):
+        held.append(tables.names)
+        return search(tables, crowd, lines)
+
+    monkeypatch.setattr(line_dedup, "_crowded_pairs", searched)
+    texts = [f"all of them have this in common and nothing else than this {'abcdefghijkl'[i]}{i * 7919}" * 2 for i in range(12)]
+    line_dedup.remove_similar_lines(table(list(enumerate(texts)))).count()
+    assert held and "line-candidates" in held[0] and "line-texts" not in held[0]
+
+
+def test_a_crowd_sends_no_unlike_pairs(table, monkeypatch):
+    """Unlike lines that share rare passages are told apart before their pairs are counted or verified."""
+    rng = random.Random(22)
+    texts, passages = [], ["".join(rng.choices("abcdefgh", k=30)) for _ in range(12)]
+    for i in range(120):
+        own = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(6))
+        texts.append(f"to be read by all {passages[i % 12]} {own}")
+    met = []
+
+    def counted(tables, pairs, lines, name, verify=line_dedup._verified, **options):
+        if name == "line-crowded":
+            met.append(pairs.count())
+        return verify(tables, pairs, lines, name, **options)
+
+    monkeypatch.setattr(line_dedup, "MET", 1)
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    found = rows(line_dedup.remove_similar_lines(table(list(enumerate(texts)))), "doc_id", "n_removed")
+    assert not any(n for _, n in found) and met == [0]
+
+
 NAMES = [
     "gone_id", "gone_places", "n_lines", "n_removed", "places", "name", "line", "rate", "rate_id", "_copy", "kept_id",
     "component", "component_id", "kept", "shard", "place", "id", "band",
