@@ -276,6 +276,64 @@ def test_a_crowd_sends_no_unlike_pairs(table, monkeypatch):
     assert not any(n for _, n in found) and met == [0]
 
 
+def _long_lines(n):
+    """Unlike lines of more than 500 shingles, all of them common, that share a passage."""
+    rng = random.Random(23)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(3, 8))) for _ in range(150)]
+    passage = " ".join(rng.choices(words, k=30))
+    texts = [" ".join([*rng.choices(words, k=60), passage, *rng.choices(words, k=60)]) for _ in range(n)]
+    assert all(len({t[i : i + 5] for i in range(len(t) - 4)}) > 500 for t in texts)
+    assert not any(similar(texts[0], other) for other in texts[1:])
+    return texts
+
+
+def test_unlike_long_lines_are_told_apart_in_their_bands(table, monkeypatch):
+    """No pair of them is sent anywhere, nor are their shingles."""
+    texts = _long_lines(24)
+    # one of them has a copy with an edit
+    texts.append(texts[3].replace(" ", "#", 1))
+    met, names = [], []
+
+    def counted(tables, pairs, lines, name, verify=line_dedup._verified, **options):
+        names.extend(tables.names)
+        met.append(pairs.count())
+        return verify(tables, pairs, lines, name, **options)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    found = rows(line_dedup.remove_similar_lines(table(list(enumerate(texts)))), "doc_id", "n_removed")
+    assert [i for i, n in found if n] == [24]
+    assert sum(met) == 1 and "line-prefixes" not in names
+
+
+def test_bands_in_which_all_meet_put_nothing_in_the_driver(table, monkeypatch):
+    """The counts of common shingles, a constant of the plan, are for larger bands only."""
+
+    def refused(*_, **__):
+        raise AssertionError("a constant was made")
+
+    monkeypatch.setattr(line_dedup.ConstantTable, "of", refused)
+    texts = _long_lines(24)
+    texts.append(texts[5].replace(" ", "#", 1))
+    found = rows(line_dedup.remove_similar_lines(table(list(enumerate(texts)))), "doc_id", "n_removed")
+    assert [i for i, n in found if n] == [24]
+
+
+@pytest.mark.parametrize("size", [8, 20, 4096])
+def test_bands_of_any_size_are_searched_wholly(table, monkeypatch, size):
+    monkeypatch.setattr(line_dedup, "LARGE_BAND", size)
+    rng = random.Random(24)
+    opening = "all of this was written by the people who once lived beside the old river and said"
+    texts = []
+    for i in range(70):
+        # every fifth one has no opening
+        own = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=90))
+        start = opening if i % 5 else "nothing but a few words of its own"
+        texts += [f"{start} {own}", f"{start} {own[:45]}#{own[46:]}"]
+    found = rows(line_dedup.remove_similar_lines(table(list(enumerate(texts)))), "doc_id", "n_removed")
+    pairs = [i for i in range(1, 140, 2) if similar(texts[i - 1], texts[i])]
+    assert {i for i, n in found if n} == set(pairs) and len(pairs) > 50
+
+
 NAMES = [
     "gone_id", "gone_places", "n_lines", "n_removed", "places", "name", "line", "rate", "rate_id", "_copy", "kept_id",
     "component", "component_id", "kept", "shard", "place", "id", "band",
