@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from glyphgraph.llm import ann, line_dedup, mixing, partenum, substring
 from glyphgraph.llm.catalogue import find_package
+from glyphgraph.operators.storage import Tables
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -334,6 +335,17 @@ def test_bands_of_any_size_are_searched_wholly(table, monkeypatch, size):
     assert {i for i, n in found if n} == set(pairs) and len(pairs) > 50
 
 
+def test_grouped_rows_are_dealt_to_buckets_once(spark):
+    """By the shuffle of the grouping: one file a bucket, and nothing is shuffled after it."""
+    with Tables(spark) as tables:
+        counted = spark.range(1000).groupBy((F.col("id") % 50).alias("k")).agg(F.count("*").alias("n"))
+        table = tables.write_bucketed(counted, "counted", 5, "k", grouped=True)
+        assert len(table.inputFiles()) <= 5
+        again = table.groupBy("k").agg(F.sum("n").alias("n"))
+        assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+        assert {(r["k"], r["n"]) for r in again.collect()} == {(k, 20) for k in range(50)}
+
+
 NAMES = [
     "gone_id", "gone_places", "n_lines", "n_removed", "places", "name", "line", "rate", "rate_id", "_copy", "kept_id",
     "component", "component_id", "kept", "shard", "place", "id", "band",
