@@ -335,6 +335,12 @@ def test_bands_of_any_size_are_searched_wholly(table, monkeypatch, size):
     assert {i for i, n in found if n} == set(pairs) and len(pairs) > 50
 
 
+def test_pairs_that_links_connect_are_not_compared(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long")
+    pairs = spark.createDataFrame([(1, 3), (1, 5), (3, 7), (8, 9), (5, 6)], "a long, b long")
+    assert sorted(rows(line_dedup._apart(pairs, links), "a", "b")) == [(1, 5), (3, 7), (8, 9)]
+
+
 def test_grouped_rows_are_dealt_to_buckets_once(spark):
     """By the shuffle of the grouping: one file a bucket, and nothing is shuffled after it."""
     with Tables(spark) as tables:
