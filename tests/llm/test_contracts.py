@@ -335,6 +335,25 @@ def test_bands_of_any_size_are_searched_wholly(table, monkeypatch, size):
     assert {i for i, n in found if n} == set(pairs) and len(pairs) > 50
 
 
+def test_prefixes_of_unlike_lines_make_no_pairs(spark):
+    """Sets that share three quarters are told apart by all their parities, before their shared shingles are counted."""
+    rng = random.Random(31)
+
+    def letters(size):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=size))
+
+    shared = letters(240)
+    texts = [shared + letters(80) for _ in range(12)]
+    texts.append(texts[0][:150] + "#" + texts[0][151:])
+    assert [(a, b) for b in range(13) for a in range(b) if similar(texts[a], texts[b])] == [(0, 12)]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    sets = lines.select("id", line_dedup._shingles(F.col("line")).alias("shingles"))
+    crowd = sets.select("id", F.col("id").alias("part"), F.size("shingles").alias("n"), line_dedup._parities(F.col("shingles")).alias("bits"))
+    with Tables(spark) as tables:
+        met = line_dedup._prefix_pairs(tables, crowd.select("id", "part", "n", "bits.*"), lines)
+        assert rows(met, "a", "b") == [(0, 12)]
+
+
 def test_pairs_that_links_connect_are_not_compared(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long")
     pairs = spark.createDataFrame([(1, 3), (1, 5), (3, 7), (8, 9), (5, 6)], "a long, b long")
