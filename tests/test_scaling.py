@@ -253,3 +253,27 @@ def test_rows_that_lie_one_after_the_other_move_as_one(spark, monkeypatch):
     twice = [(k, p, c, "I") for k in (None, 1) for text in ("xyz", "abcd") for p, c in enumerate(text)] + [(2, 0, "q", "I")]
     frame = spark.createDataFrame(twice, "path long, pos long, name string, label string").coalesce(1)
     assert dict(map(tuple, glue_labels(frame).collect())) == {None: "axbyczd", 1: "axbyczd", 2: "q"}
+
+
+def test_given_labels_go_to_the_tasks_as_they_are(spark, monkeypatch):
+    """A character's row is its path, place, name and label; Spark adds up no batch of them after each row."""
+    from glyphgraph.plans import segmentation
+
+    setting, seen = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    before = spark.conf.get(setting)
+
+    def written(frame, name):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString().lower()
+        seen[name] = spark.conf.get(setting), "concat" in plan or "case when" in plan
+        return materialize(frame, name)
+
+    monkeypatch.setattr(segmentation, "materialize", written)
+    labels = ["E", "S", "B", "I", "M", "U", "A", "", None]
+    table = [(k, p, name, labels[(p + k) % 9]) for k in range(9) for p, name in enumerate(["a", "é", "", "😀😀", " ", None, "xyz"] * 3)]
+    frame = spark.createDataFrame(table, "path long, pos long, name string, label string").coalesce(1)
+    found = dict(map(tuple, glue_labels(frame).collect()))
+    assert seen["label-runs"] == (str((1 << 31) - 1), False) and spark.conf.get(setting) == before
+    # the same rows out of order are glued one by one
+    mixed = random.Random(3).sample(table, len(table))
+    alone = spark.createDataFrame(mixed, "path long, pos long, name string, label string").repartition(7)
+    assert found == dict(map(tuple, glue_labels(alone).collect())) and len(found) == 9
